@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.columns import clip, grid, local_date, names, number, ratio
 from .classify import assign_topic, sentiment_norm
 from .joining import bounded_join
+from .ranks import quantiles
 from .series import Order
 from .windows import heat, rolling_z
 
@@ -187,49 +188,6 @@ def coverage_gap(expected: DataFrame, collected: DataFrame, key: str, total: str
     return gaps.orderBy(F.desc("gap"), key).limit(limit) if limit else gaps
 
 
-def quantiles(df: DataFrame, column: str, qs: Sequence[float], by: str | Sequence[str] | None = None,
-              blocks: int = 1024) -> DataFrame:
-    """Exact linear quantiles of large groups, without sorting a group in one task.
-
-    A mergeable sketch places block bounds, rows are counted per block and value, and only the blocks
-    that hold a wanted rank are ordered. The sketch decides the work per block, never the result.
-    """
-    keys = names(by)
-    rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cells = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    at = [(i + 1) / blocks for i in range(blocks - 1)]
-    sketch = cells.groupBy(*keys).agg(F.percentile_approx("_v", at, 10 * blocks, ).alias("_bounds"))
-    anchor = keys or ["_one"]
-    if not keys:
-        cells, sketch = cells.withColumn("_one", F.lit(0)), sketch.withColumn("_one", F.lit(0))
-    bounds = F.array_distinct(F.col("_bounds"))
-    placed = bounded_join(cells, sketch, anchor, "inner", max_rows=2000).withColumn(
-        "_block", F.size(F.filter(bounds, lambda b: b < F.col("_v")))).drop("_bounds")
-    counted = placed.groupBy(*anchor, "_block").agg(F.sum("_n").alias("_rows"))
-    earlier = Window.partitionBy(*anchor).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumns({
-        "_start": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
-        "_total": F.sum("_rows").over(Window.partitionBy(*anchor))})
-    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("rank"))
-                       for q in qs])
-    ends = F.col("_start") + F.col("_rows")
-    needed = starts.withColumn("_w", F.explode(wanted)).where(
-        (F.floor("_w.rank") < ends) & (F.ceil("_w.rank") >= F.col("_start"))).select(
-        *anchor, "_block", "_start", "_w.q", "_w.rank")
-    picked = placed.join(needed, [*anchor, "_block"])
-    within = Window.partitionBy(*anchor, "q", "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = picked.withColumn("_end", F.col("_start") + F.sum("_n").over(within))
-    first = upto.withColumn("_begin", F.col("_end") - F.col("_n"))
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_begin") <= rank) & (rank < F.col("_end")), F.col("_v")))
-
-    found = first.groupBy(*anchor, "q", "rank").agg(
-        at_rank(F.floor("rank")).alias("_lo"), at_rank(F.ceil("rank")).alias("_hi"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("rank") - F.floor("rank"))
-    return found.select(*keys, "q", value.alias("value"))
-
-
 def dist_stats(df: DataFrame, cols: Sequence[str], ddof: int = 0, by: str | Sequence[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation and quartiles, one row per column and group."""
     keys = names(by)

@@ -329,39 +329,6 @@ def feature_importance(spark, model, feats: Sequence[str], families: Mapping[str
     return bounded_join(rows, shares, ["family"], "inner").withColumn("family_share", F.col("_f") / total).drop("_f")
 
 
-def average_rank(df: DataFrame, column: str, by=None, name: str = "rank", bins: int = 512) -> DataFrame:
-    """Rank from 1 with ties sharing their mean rank, without ordering a whole group in one task.
-
-    Rows collapse to value counts, values to blocks between sketched bounds; a block's start is the
-    count of the blocks before it. The sketch only balances the blocks.
-    """
-    keys = names(by)
-    anchor = keys or ["_one"]
-    base = df if keys else df.withColumn("_one", F.lit(0))
-    cells = base.where(F.col(column).isNotNull()).groupBy(*anchor, column).agg(F.count(F.lit(1)).alias("_n"))
-    at = [(i + 1) / bins for i in range(bins - 1)]
-    sketch = cells.groupBy(*anchor).agg(F.array_distinct(F.percentile_approx(column, at, 10 * bins)).alias("_b"))
-    placed = bounded_join(cells, sketch, anchor, "inner", max_rows=4000).withColumn(
-        "_block", F.size(F.filter("_b", lambda b: b < F.col(column)))).drop("_b")
-    counts = placed.groupBy(*anchor, "_block").agg(F.sum("_n").alias("_rows"))
-    earlier = Window.partitionBy(*anchor).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*anchor, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*anchor, "_block").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = placed.join(starts, [*anchor, "_block"]).withColumn(
-        name, F.col("_start") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2.0)
-    return base.join(ranks.select(*anchor, column, name), [*anchor, column], "left").drop("_one")
-
-
-def spearman(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
-    """Rank correlation and the direction its sign suggests."""
-    keys = names(by)
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        *keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = average_rank(average_rank(pairs, "_a", keys, "_ra"), "_b", keys, "_rb")
-    return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn(
-        "momentum", F.col("rho") > 0)
-
-
 def exp_growth(df: DataFrame, ret: str, order: str = "date", by=None) -> DataFrame:
     """Cumulative growth of log returns."""
     return running(df, {"_s": ("sum", F.col(ret))}, order, by).withColumn("growth", F.exp("_s")).drop("_s")

@@ -197,10 +197,10 @@ s2 AS (
 s3 AS (
   SELECT *,
     least(greatest(egarch_vol / lag(egarch_vol) OVER w - 1, -5.0), 5.0) AS vol_shock,
-    CASE WHEN count(egarch_vol) OVER w60 = 60 AND egarch_vol > quantile_cont(egarch_vol, 0.7) OVER w60 THEN 1.0 ELSE 0.0 END AS vol_regime_high,
+    CASE WHEN count(egarch_vol) OVER w60 = 60 AND egarch_vol > quantile_cont(egarch_vol, 0.7) OVER w60 THEN 1.0 ELSE 0.0 END::DOUBLE AS vol_regime_high,
     CASE WHEN rn >= 20 AND close > avg(close) OVER w20 THEN 1.0 ELSE 0.0 END
     + CASE WHEN rn >= 60 AND close > avg(close) OVER w60 THEN 1.0 ELSE 0.0 END
-    + CASE WHEN rn >= 120 AND close > avg(close) OVER w120 THEN 1.0 ELSE 0.0 END AS trend_strength,
+    + CASE WHEN rn >= 120 AND close > avg(close) OVER w120 THEN 1.0 ELSE 0.0 END::DOUBLE AS trend_strength,
     CASE WHEN len(past) >= 60 THEN 100.0 * len(list_filter(past, lambda v: v <= close)) / len(past) END AS index_score
   FROM s2
   WINDOW w AS (PARTITION BY series ORDER BY date),
@@ -218,7 +218,7 @@ POSITIONS = STRATEGY + """,
 p1 AS (
   SELECT *,
     CASE WHEN count(target_reg) OVER w3 = 3 THEN sum(target_reg) OVER w3 ELSE 0.0 END AS cumret_3d,
-    CASE CAST(trend_strength AS INTEGER) WHEN 1 THEN 0.35 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 0.0 END AS tw,
+    CASE CAST(trend_strength AS INTEGER) WHEN 1 THEN 0.35 WHEN 2 THEN 0.7 WHEN 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS tw,
     least(greatest(sqrt((0.15 / sqrt(252.0)) / (egarch_vol + 1e-9)), 0.1), 2.0) AS vt,
     least(greatest(0.5 + index_score / 100.0 * 1.1, 0.5), 1.6) AS mult,
     CASE regime WHEN 'bull' THEN 1.2 WHEN 'normal' THEN 1.0 ELSE 0.7 END AS rw
