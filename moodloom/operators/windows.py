@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,7 +227,11 @@ def lag_features(df: DataFrame, cols: Sequence[str], n: int = 1, order: Order =
                  spans: Spans | None = None) -> DataFrame:
     """Shift whole columns by n rows, then keep only rows without any missing value."""
     shifted = over_frames(df, lambda w: {f"_s_{c}": F.lag(c, n).over(w) for c in cols}, order, by, n, 0, spans)
-    return shifted.withColumns({c: F.col(f"_s_{c}") for c in cols}).drop(*[f"_s_{c}" for c in cols]).dropna()
+    chosen = set(cols)
+    moved = shifted.select(*[F.col(f"_s_{c}").alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
+    # One test per column: a single test over all of them multiplies with every later renaming when
+    # the optimizer derives constraints.
+    return moved.where(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in df.columns]))
 
 
 def drawdown(df: DataFrame, ret: str, order: Order = "date", by: Order | None = None,

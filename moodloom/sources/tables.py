@@ -11,9 +11,16 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fv
 from ..functions.columns import number
 
+# Charsets Spark reads without further ado; others need its compatibility switch.
+_PLAIN_CHARSETS = {"UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "ISO-8859-1", "US-ASCII"}
 _JAVA_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
 
 
+def allow_charsets(spark: SparkSession) -> None:
+    """Let this session read and write legacy charsets such as EUC-KR."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_table_smart(spark: SparkSession, path: str | Sequence[str], encodings: Sequence[str] = tuple(fv.TEXT_ENCODINGS),
                      schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Read CSV files in the first encoding that decodes all of their text.
@@ -24,6 +31,8 @@ def read_table_smart(spark: SparkSession, path: str | Sequence[str], encodings:
     candidates = list(dict.fromkeys(_JAVA_NAMES.get(e.lower(), e) for e in encodings))
     paths = [path] if isinstance(path, str) else list(path)
     for charset in candidates:
+        if charset not in _PLAIN_CHARSETS:
+            allow_charsets(spark)
         raw = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", charset).schema(
             "line string").csv(paths)
         if not raw.where(F.contains("line", F.lit("�"))).limit(1).count():

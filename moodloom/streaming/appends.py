@@ -14,7 +14,8 @@ from ..session import checkpoint_folder
 
 def unseen_comments(stream: DataFrame, ts: str, key: str, delay: str = "2 days") -> DataFrame:
     """Each comment id once; ids are remembered for the delay, so the state stays bounded."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_sentiment_stream(stream: DataFrame, ts: str, pos: str, neg: str, weight: str | None = None,

@@ -196,7 +196,7 @@ s2 AS (
   FROM s1),
 s3 AS (
   SELECT *,
-    least(greatest(egarch_vol / lag(egarch_vol) OVER w - 1, -5.0), 5.0) AS vol_shock,
+    CASE WHEN lag(egarch_vol) OVER w IS NOT NULL THEN least(greatest(egarch_vol / lag(egarch_vol) OVER w - 1, -5.0), 5.0) END AS vol_shock,
     CASE WHEN count(egarch_vol) OVER w60 = 60 AND egarch_vol > quantile_cont(egarch_vol, 0.7) OVER w60 THEN 1.0 ELSE 0.0 END::DOUBLE AS vol_regime_high,
     CASE WHEN rn >= 20 AND close > avg(close) OVER w20 THEN 1.0 ELSE 0.0 END
     + CASE WHEN rn >= 60 AND close > avg(close) OVER w60 THEN 1.0 ELSE 0.0 END

@@ -187,6 +187,7 @@ def sweep_pipeline(spark, sf):
 def src_csv(spark, sf):
     """Write the documents in a legacy encoding, then let the reader find it."""
     path = scratch(spark, "csv")
+    tb.allow_charsets(spark)
     docs(spark, sf).select("doc_id", "lang", "n_chars", F.concat(F.lit("출처 "), "source").alias("source")).write.option(
         "header", True).option("encoding", "EUC-KR").csv(path)
     read = tb.read_table_smart(spark, path)
