@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Sequence
 from html.entities import html5
@@ -16,7 +15,9 @@ from .fixed_values import DATE_PATTERNS, token_pattern
 # White space as Unicode defines it, not only the ASCII part.
 WHITE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-_NAMED = {name: value for name, value in html5.items() if name.endswith(";")}
+# Frequent names first: a lookup stops at the first hit.
+_COMMON = ["amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;", "middot;", "copy;", "hellip;"]
+_NAMED = {name: html5[name] for name in [*_COMMON, *html5] if name.endswith(";")}
 _BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
 
 
@@ -25,6 +26,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _literal_map(table: dict[str, str]) -> Column:
+    """Map from two split literals, which the optimizer folds into a single constant."""
+    return F.map_from_arrays(F.split(F.lit("\u0001".join(table)), "\u0001"),
+                             F.split(F.lit("\u0001".join(table.values())), "\u0001"))
+
+
 def _latin1_controls() -> dict[int, str]:
     """Code points 0x80-0x9f are read as windows-1252, as browsers do."""
     table = {}
@@ -48,8 +55,8 @@ def _code_point(number: Column) -> Column:
 
 def unescape(text: ColumnLike) -> Column:
     """Resolve HTML entities in one pass: split at '&', then resolve the start of each piece."""
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-    bare = F.from_json(F.lit(json.dumps({n: html5[n] for n in _BARE})), "map<string,string>")
+    named = _literal_map(_NAMED)
+    bare = _literal_map({n: html5[n] for n in _BARE})
 
     def resolve(piece: Column) -> Column:
         decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)

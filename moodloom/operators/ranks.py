@@ -34,7 +34,7 @@ def value_blocks(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     cells = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
     at = [(i + 1) / MOST_BLOCKS for i in range(MOST_BLOCKS - 1)]
     sketch = cells.groupBy(*by).agg(
-        F.percentile_approx(column, at, 10 * MOST_BLOCKS).alias("_all"), F.count(F.lit(1)).alias("_values"))
+        F.percentile_approx(column, at, 2 * MOST_BLOCKS).alias("_all"), F.count(F.lit(1)).alias("_values"))
     wanted = F.least(F.ceil(F.col("_values") / VALUES_PER_BLOCK), F.lit(MOST_BLOCKS))
     step = F.ceil(F.lit(MOST_BLOCKS) / wanted)
     kept = F.filter("_all", lambda _, i: (i + 1) % step == 0)

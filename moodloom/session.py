@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through the shared folder, so a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write to the shared folder and go on from the written table.
+
+    A lost executor costs no recomputation, several readers share the work, the scan keeps column
+    pruning, and its size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -81,6 +81,16 @@ def union_years(dfs: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
+def read_spread(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table for work that is heavy per row: a scan with fewer parts than cores is spread out.
+
+    Large tables have more parts than cores and are read as they lie, without a shuffle.
+    """
+    scan = spark.read.format(fmt).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_columns(spark: SparkSession, path: str, cols: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Only the named columns reach the scan."""
     return spark.read.format(fmt).load(path).select(*cols)

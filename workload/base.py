@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from moodloom.functions.columns import ratio
 from moodloom.session import checkpoint_folder, ship_package
+from moodloom.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Texts, spread over the cores where the file has too few parts."""
+    return read_spread(spark, os.path.join(sf, f"{name}.parquet"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder for written tables, in the folder all executors share."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

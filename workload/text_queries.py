@@ -12,7 +12,7 @@ from moodloom.operators import filters as fl
 from moodloom.operators import joining as jn
 from moodloom.plans import cascade
 
-from .base import query, table
+from .base import query, table, text_table
 
 # Lexicons that fit the invented prose of the test documents.
 PATTERNS = ["tionth|ndre|MB", "heit|The", "ción"]
@@ -48,7 +48,7 @@ FLAG = "regexp_matches(lower(text), '(?:tionth|ndre|MB)|(?:heit|The)|(?:ción)')
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return text_table(spark, sf, "documents")
 
 
 def toxic_docs(spark, sf):
@@ -350,7 +350,7 @@ SELECT page_id, md5(trim(regexp_replace(
   '[\s\x{00a0}]+', ' ', 'g'))) AS digest
 FROM pages""")
 def strip_tags(spark, sf):
-    return ex.strip_tags(table(spark, sf, "pages"), "html").select("page_id", F.md5("html").alias("digest"))
+    return ex.strip_tags(text_table(spark, sf, "pages"), "html").select("page_id", F.md5("html").alias("digest"))
 
 
 @query("extract_ids", r"""
@@ -362,7 +362,7 @@ FROM (
     CASE WHEN regexp_matches(url, '[?&]page=[^&#]+') AND regexp_matches(url, '[?&]ref=[^&#]+') THEN regexp_extract(url, '[?&]ref=([^&#]+)', 1) END AS d
   FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) AS p) AS q""")
 def extract_ids(spark, sf):
-    found = table(spark, sf, "pages").withColumn(
+    found = text_table(spark, sf, "pages").withColumn(
         "_ids", tx.ids_from_url("url", "^/(en|fr)/([0-9]+)", ("page", "ref"), (".+", ".+")))
     ids = found.withColumns({"first_id": F.col("_ids.first_id"), "second_id": F.col("_ids.second_id")})
     return ids.select("page_id", "first_id", "second_id",
@@ -385,7 +385,7 @@ SELECT page_id, first_id, second_id, title FROM (
   ) AS c WHERE first_id <> ''
 ) AS d WHERE r = 1""")
 def extract_links(spark, sf):
-    links = ex.extract_links(table(spark, sf, "pages"), "html", "url", "page_id", path="^/([a-z])([a-z]+)$",
+    links = ex.extract_links(text_table(spark, sf, "pages"), "html", "url", "page_id", path="^/([a-z])([a-z]+)$",
                              query_keys=None, template="/%s%s")
     return links.select("page_id", "first_id", "second_id", "title")
 
@@ -394,7 +394,7 @@ def extract_links(spark, sf):
 SELECT page_id, coalesce(nullif(regexp_extract(html, '<article><h1>[^<]*?([0-9]+)', 1), ''),
   nullif(regexp_extract(url, '/([0-9]{3})[/.?#]?', 1), ''), '') AS pub_date FROM pages""")
 def extract_date(spark, sf):
-    both = table(spark, sf, "pages")
+    both = text_table(spark, sf, "pages")
     first = tx.first_date("html", ["<article><h1>[^<]*?([0-9]+)"])
     second = tx.first_date("url", ["/([0-9]{3})[/.?#]?"])
     return both.select("page_id", F.when(first != "", first).otherwise(second).alias("pub_date"))
