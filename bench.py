@@ -18,7 +18,7 @@ from workload import catalog  # noqa: E402
 
 # Streams, file round trips and model comparisons are timed by their tests, not here.
 LEFT_OUT = {"gbt_compare", "ts_cv", "feature_importance", "unseen_comments_stream", "daily_sentiment_stream", "src_csv",
-            "scan_years", "write_split", "write_summary"}
+            "scan_years", "write_split", "write_summary", "sweep_pipeline"}
 
 
 def main() -> None:

@@ -12,18 +12,25 @@ from ..functions.columns import clip, flag, names, number, ratio, steps
 from .filters import drop_warmup
 from .joining import left_merge, outer_chain
 from .series import Order, Spans, over_frames, running
-from .windows import ewm, forward_sum, lag_features, rolled, score_column
+from .windows import ewm, forward_sum, lag_features, rolled, rolling_percent_rank, rolling_z_cdf
 
 
 def to_greed_score(df: DataFrame, raw: str, higher_is: str, window: int = fv.TRADING_DAYS,
                    min_periods: int | None = None, method: str = "percentile", clip_z: float = 5.0,
                    name: str = "score", keep_warmup: bool = True, order: Order = "date", by: Order | None = None,
                    spans: Spans | None = None) -> DataFrame:
-    """Turn a raw indicator into a 0-100 score over a rolling window."""
-    scored = over_frames(
-        df, lambda w: {name: score_column(F.col(raw), w, higher_is, window, min_periods, method, clip_z)},
-        order, by, window - 1, 0, spans)
-    return drop_warmup(scored, name, keep_warmup)
+    """Turn a raw indicator into a 0-100 score over a rolling window. Fear indicators are negated first."""
+    if higher_is not in ("greed", "fear"):
+        raise ValueError("higher_is must be 'greed' or 'fear'")
+    if method not in ("percentile", "z_cdf"):
+        raise ValueError("method must be 'percentile' or 'z_cdf'")
+    value = number(raw)
+    aligned = df.withColumn("_aligned", value if higher_is == "greed" else -value)
+    if method == "percentile":
+        scored = rolling_percent_rank(aligned, "_aligned", window, min_periods, order, by, name, spans)
+    else:
+        scored = rolling_z_cdf(aligned, "_aligned", window, min_periods, clip_z, order, by, name, spans)
+    return drop_warmup(scored.drop("_aligned"), name, keep_warmup)
 
 
 def _score_options(score: Mapping, **defaults) -> dict:

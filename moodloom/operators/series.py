@@ -27,10 +27,11 @@ Order = str | Sequence[str]
 @dataclass(frozen=True)
 class Spans:
     """How to cut a long series: `block` is an expression that never falls along the order
-    (a date, an hour), `rows` the length of a span."""
+    (a date, an hour), `rows` the length of a span, `position` a column that already numbers the rows."""
 
     block: str
     rows: int = 4096
+    position: str | None = None
 
 
 def ordered(order: Order, by: Order | None = None) -> WindowSpec:
@@ -61,6 +62,12 @@ def with_position(df: DataFrame, order: Order, by: Order | None, block: str, nam
     )
 
 
+def _positions(df: DataFrame, order: Order, keys: Sequence[str], spans: Spans) -> DataFrame:
+    if spans.position:
+        return df.withColumn("_pos", F.col(spans.position))
+    return with_position(df, order, keys, spans.block)
+
+
 def over_frames(df: DataFrame, columns: Callable[[WindowSpec], Mapping[str, Column]], order: Order,
                 by: Order | None = None, before: int = 0, after: int = 0, spans: Spans | None = None) -> DataFrame:
     """Add window columns whose frames reach at most `before` rows back and `after` rows ahead."""
@@ -68,7 +75,7 @@ def over_frames(df: DataFrame, columns: Callable[[WindowSpec], Mapping[str, Colu
     if spans is None:
         return df.withColumns(dict(columns(ordered(order, keys))))
     size = max(spans.rows, before + after + 1)
-    pos = with_position(df, order, keys, spans.block)
+    pos = _positions(df, order, keys, spans)
     own = F.floor(F.col("_pos") / size)
     first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / size)
     last = F.floor((F.col("_pos") + before) / size)
@@ -99,7 +106,7 @@ def running(df: DataFrame, items: Mapping[str, tuple], order: Order, by: Order |
             name: calls[kind](value).over(window.rowsBetween(Window.unboundedPreceding, upto))
             for name, (kind, value, upto) in parts.items()})
 
-    pos = with_position(df, order, keys, spans.block).withColumn("_span", F.floor(F.col("_pos") / spans.rows))
+    pos = _positions(df, order, keys, spans).withColumn("_span", F.floor(F.col("_pos") / spans.rows))
     window = Window.partitionBy(*keys, "_span").orderBy("_pos")
     local = pos.withColumns({
         f"_l_{name}": calls[kind](value).over(window.rowsBetween(Window.unboundedPreceding, upto))

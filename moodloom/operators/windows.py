@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import and_
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.columns import clip, flag, names, normal_cdf, number, ratio
+from ..functions.columns import clip, flag, names, normal_cdf, ratio
 from ..functions.fixed_values import EPS
 from .series import Order, Spans, ordered, over_frames, running, with_position
 
@@ -108,37 +109,36 @@ def rolling_quantile(df: DataFrame, column: str, n: int, q: float, order: Order
         order, by, n - 1, 0, spans)
 
 
-def percent_rank_column(value: Column, window: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    """Share of the known values in the frame that do not exceed the last known one, in percent."""
-    frame = back(window, n)
-    known = F.collect_list(value).over(frame)
+def _ranked(known: Column, needed: int) -> Column:
+    """Share of the listed values that do not exceed the last one, in percent."""
     below = F.size(F.filter(known, lambda v: v <= F.element_at(known, -1)))
-    needed = n if min_periods is None else min_periods
-    return F.when(F.count(value).over(frame) >= max(needed, 1), 100.0 * below / F.size(known))
+    return F.when(F.size(known) >= max(needed, 1), 100.0 * below / F.size(known))
 
 
 def rolling_percent_rank(df: DataFrame, column: str, n: int = 252, min_periods: int | None = None,
                          order: Order = "date", by: Order | None = None, name: str | None = None,
                          spans: Spans | None = None) -> DataFrame:
-    return over_frames(
-        df, lambda w: {name or f"{column}_rank{n}": percent_rank_column(F.col(column), w, n, min_periods)},
-        order, by, n - 1, 0, spans)
-
+    """Share of the known values of the last n rows that do not exceed the last known one, in percent.
 
-def z_cdf_column(value: Column, window: WindowSpec, n: int, min_periods: int | None = None,
-                 clip_z: float = 5.0) -> Column:
-    """Rolling z-score, bounded, through the normal distribution function, in percent."""
-    mean = rolled(F.avg, value, window, n, min_periods)
-    std = rolled(F.stddev_samp, value, window, n, min_periods)
-    return normal_cdf(clip(ratio(value - mean, std), -clip_z, clip_z)) * 100.0
+    The frame's values are listed once per row and counted in the next step: used inside one
+    expression, every mention of the list would be a window of its own.
+    """
+    listed = over_frames(df, lambda w: {"_known": F.collect_list(column).over(back(w, n))}, order, by, n - 1, 0, spans)
+    score = _ranked(F.col("_known"), n if min_periods is None else min_periods)
+    return listed.withColumn(name or f"{column}_rank{n}", score).drop("_known")
 
 
 def rolling_z_cdf(df: DataFrame, column: str, n: int = 252, min_periods: int | None = None, clip_z: float = 5.0,
                   order: Order = "date", by: Order | None = None, name: str | None = None,
                   spans: Spans | None = None) -> DataFrame:
-    return over_frames(
-        df, lambda w: {name or f"{column}_cdf{n}": z_cdf_column(F.col(column), w, n, min_periods, clip_z)},
+    """Rolling z-score, bounded, through the normal distribution function, in percent."""
+    x = F.col(column)
+    moments = over_frames(
+        df, lambda w: {"_mean": rolled(F.avg, x, w, n, min_periods), "_std": rolled(F.stddev_samp, x, w, n, min_periods)},
         order, by, n - 1, 0, spans)
+    bounded = moments.withColumn("_z", ratio(x - F.col("_mean"), F.col("_std"))).withColumn(
+        "_z", clip(F.col("_z"), -clip_z, clip_z))
+    return bounded.withColumn(name or f"{column}_cdf{n}", normal_cdf(F.col("_z")) * 100.0).drop("_mean", "_std", "_z")
 
 
 def ewm(df: DataFrame, column: str, alpha: float, order: Order = "date", by: Order | None = None,
@@ -160,6 +160,7 @@ def ewm(df: DataFrame, column: str, alpha: float, order: Order = "date", by: Ord
         numbered = df.withColumn("_at", F.row_number().over(ordered(order, keys)))
     else:
         numbered = with_position(df, order, keys, spans.block, "_at")
+        spans = replace(spans, position="_at")
     seen = running(numbered, {"_seen": ("last", F.when(x.isNotNull(), F.col("_at")), -1)}, order, keys, spans)
     faded = F.pow(F.lit(1.0 - alpha), (F.col("_at") - F.col("_seen")).cast("double"))
     first = F.col("_seen").isNull()
@@ -299,17 +300,3 @@ def calendar_parts(df: DataFrame, column: str = "date") -> DataFrame:
     """Day of week (Monday is 0), month and year."""
     day = F.col(column)
     return df.withColumns({"dayofweek": F.weekday(day), "month": F.month(day), "year": F.year(day)})
-
-
-def score_column(raw: Column, window: WindowSpec, higher_is: str, n: int, min_periods: int | None,
-                 method: str, clip_z: float) -> Column:
-    """0-100 score of a raw indicator; a fear indicator is negated first."""
-    if higher_is not in ("greed", "fear"):
-        raise ValueError("higher_is must be 'greed' or 'fear'")
-    if method not in ("percentile", "z_cdf"):
-        raise ValueError("method must be 'percentile' or 'z_cdf'")
-    value = number(raw)
-    aligned = value if higher_is == "greed" else -value
-    if method == "percentile":
-        return percent_rank_column(aligned, window, n, min_periods)
-    return z_cdf_column(aligned, window, n, min_periods, clip_z)

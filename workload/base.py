@@ -266,7 +266,7 @@ def strategy_table(spark: SparkSession, sf: str) -> DataFrame:
     from moodloom.operators.models import log_returns, walk_forward_vol
     from moodloom.operators.risk import regime
     from moodloom.operators.series import over_frames
-    from moodloom.operators.windows import percent_rank_column, rolled
+    from moodloom.operators.windows import rolled, rolling_percent_rank
 
     d = log_returns(prices(spark, sf), "close", "date", "series", "lr")
     d = vol_features(walk_forward_vol(d, "lr", by="series"), by="series")
@@ -275,10 +275,10 @@ def strategy_table(spark: SparkSession, sf: str) -> DataFrame:
         above = [F.coalesce(F.col("close") > rolled(F.avg, F.col("close"), w, n), F.lit(False)).cast("double")
                  for n in (20, 60, 120)]
         return {"trend_strength": above[0] + above[1] + above[2],
-                "index_score": percent_rank_column(F.col("close"), w, 252, 60),
                 "target_reg": F.ln(ratio(F.lead("close").over(w), F.col("close")))}
 
-    d = over_frames(d, parts, "date", "series", 251, 1).select(
+    d = rolling_percent_rank(d, "close", 252, 60, by="series", name="index_score")
+    d = over_frames(d, parts, "date", "series", 119, 1).select(
         "series", "date", "close", "egarch_vol", "vol_shock", "vol_regime_high", "trend_strength", "index_score",
         "target_reg")
     return regime(d.dropna(subset=["egarch_vol", "index_score", "target_reg"]))
