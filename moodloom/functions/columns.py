@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = str | Column
@@ -87,6 +87,15 @@ def grid(points: Sequence[Mapping[str, object]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in point.items()]) for point in points])
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns so that each row computes them once.
+
+    A filter on a plain column is moved before it, taking a copy of the whole expression along. The
+    one-row `inline` keeps filters behind it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def local_date(ts: ColumnLike, zone: str | None) -> Column:
     """Calendar date of a UTC timestamp in a zone."""
     stamp = col(ts).try_cast("timestamp")

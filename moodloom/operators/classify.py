@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
-from ..functions.columns import clip, flag, names
+from ..functions.columns import clip, computed_once, flag, names
 from ..session import settle
 from .joining import bounded_join
 
@@ -41,7 +41,7 @@ def lexicon_toxicity(df: DataFrame, column: str, categories: Mapping[str, Sequen
     severity = fv.TOXIC_SEVERITY if severity is None else severity
     text = F.col(column)
     counts = {c: F.regexp_count(text, F.lit(tx.any_of(p, ignore_case=True))) for c, p in categories.items()}
-    counted = df.withColumns({f"_n_{c}": n for c, n in counts.items()})
+    counted = computed_once(df, {f"_n_{c}": n for c, n in counts.items()})
     total = F.lit(0.0)
     for c in categories:
         n = F.col(f"_n_{c}")
@@ -152,7 +152,7 @@ def word_hits(df: DataFrame, column: str, vocab: DataFrame, key: str | Sequence[
     found = F.transform(F.filter("_list", lambda w: F.contains(low, w["token"])),
                         lambda w: F.struct(*[w[v].alias(v) for v in values]))
     empty = F.array().cast(dict(vocab.select(F.array(F.struct(*values)).alias("a")).dtypes)["a"])
-    scored = joined.withColumn(name, F.coalesce(found, empty)).drop("_list", "_part", "_one")
+    scored = computed_once(joined, {name: F.coalesce(found, empty)}).drop("_list", "_part", "_one")
     if packed.groupBy(*keys).count().where("count > 1").limit(1).count() == 0:
         return scored
     lists = scored.groupBy(*ids).agg(F.flatten(F.collect_list(name)).alias(name))
