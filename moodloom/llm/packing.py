@@ -11,6 +11,7 @@ pieces. Any further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,12 +44,31 @@ class SegmentEncoder:
     BORDER[0xC3:0xE1] = True
     BORDER[0xE4:0xF5] = True
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, least: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.seen: dict[int, np.ndarray] = {}
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), least + 1) <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.seen: dict[int, bytes] = {}
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in found]
+
+    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
+        """Segments with one space, in front, are encoded as one text: its ids that start with a space part it again."""
+        plain = [i for i, t in enumerate(texts) if t[0] == 0x20 and len(t) > 1 and self.BORDER[t[1]] and t.count(b" ") == 1]
+        if plain:
+            ids = self._ids([b"".join(texts[i] for i in plain)])[0]
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) == len(plain):
+                width, blob, at = ids.itemsize, ids.tobytes(), [*begins.tolist(), len(ids)]
+                self.seen |= {keys[i]: blob[a * width:b * width] for i, a, b in zip(plain, at[:-1], at[1:], strict=True)}
+        rest = [i for i, k in enumerate(keys) if k not in self.seen]
+        self.seen |= {keys[i]: e.tobytes() for i, e in zip(rest, self._ids([texts[i] for i in rest]), strict=True)}
 
     def __call__(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin."""
@@ -59,7 +79,7 @@ class SegmentEncoder:
         cut[len(body)] = False
         starts = np.flatnonzero(cut)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(at), np.int64)
         ends = np.append(starts[1:], len(body))
         hashes = c.slice_hash(c.prefix_hash(body), starts, ends)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -68,12 +88,10 @@ class SegmentEncoder:
         names = keys.tolist()
         new = [i for i, k in enumerate(names) if k not in self.seen]
         data = body.tobytes()
-        texts = [data[starts[first[i]]:ends[first[i]]].decode() for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.seen[names[i]] = np.array(e.ids, np.uint32)
+        self._learn([names[i] for i in new], [data[starts[first[i]]:ends[first[i]]] for i in new])
         parts = [self.seen[k] for k in names]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(parts), self.kind)
+        sizes = np.array(list(map(len, parts)), np.int64) // flat.itemsize
         places = np.cumsum(sizes) - sizes
         own = sizes[which]
         total = np.concatenate([[0], np.cumsum(own)])
@@ -81,13 +99,19 @@ class SegmentEncoder:
         return flat[take], total[np.searchsorted(starts, at, "left")]
 
 
+@functools.cache
+def encoder(file: str, least: int) -> SegmentEncoder:
+    """One per worker process, so that its tasks share what it remembers."""
+    return SegmentEncoder(file, least)
+
+
 def tokenized(docs: DataFrame, file: str, end_id: int = END_ID) -> DataFrame:
     """Per row: doc_id, ids (little-endian, two bytes each where the vocabulary allows), and its place in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = SegmentEncoder(file), TaskContext.get().partitionId(), 0
-        kind = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for batch, body, at in c.pieces_of(batches, limit=4 << 20):
+        encode, part, before = encoder(file, end_id), TaskContext.get().partitionId(), 0
+        kind = encode.kind
+        for batch, body, at in c.pieces_of(batches):
             ids, places = encode(body, at)
             counts = np.diff(places) + 1
             ends = before + np.cumsum(counts)
@@ -116,7 +140,7 @@ def pack(docs: DataFrame, file: str, length: int = LENGTH, end_id: int = END_ID)
     ids = placed(c.settle(tokenized(docs, file, end_id), "ids"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in c.pieces_of(batches, "ids", 4 << 20):
+        for batch, body, at in c.pieces_of(batches, "ids"):
             place, tokens = (batch.column(n).to_numpy() for n in ("place", "tokens"))
             first, last = place // length, (place + tokens - 1) // length
             row = np.repeat(np.arange(len(place)), last - first + 1)
