@@ -72,13 +72,15 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = RUN_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with their text bytes: `limit` bytes at most, or a single row."""
+def pieces_of(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = RUN_BYTES,
+              rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with their text bytes: `limit` bytes and `rows` rows at most, or a single row."""
     for batch in batches:
         body, at = raw(batch.column(text))
         i, n = 0, batch.num_rows
         while i < n:
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+            j = min(j, i + rows)
             yield batch.slice(i, j - i), body[at[i]:at[j]], at[i:j + 1] - at[i]
             i = j
 
