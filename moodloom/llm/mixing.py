@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -90,10 +90,14 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
     return {e: n for e, n in flow.items() if n}
 
 
-def _first_fit(rows: DataFrame, limits: DataFrame, digits: int, fits: Column) -> DataFrame:
-    """Rows (pattern, pick, doc_id, size) that come first in the order of `pick`, up to each pattern's limit."""
+def _first_fit(rows: DataFrame, limits: DataFrame, digits: int, last: bool) -> DataFrame:
+    """Rows (pattern, pick, doc_id, size) that come first in the order of `pick`, up to each pattern's limit.
+
+    The last run goes to whichever end of a document is nearer to the limit; the others stay below it.
+    """
+    fits = F.expr("2 * before + size <= 2 * need" if last else "before + size <= need")
     bucket = F.substring("pick", 1, digits)
-    rows = rows.join(F.broadcast(limits), "pattern").where("size > 0 and size <= need").withColumn("bucket", bucket)
+    rows = rows.join(F.broadcast(limits), "pattern").where("size > 0").where(F.col("size") <= F.col("need") * (2 if last else 1)).withColumn("bucket", bucket)
     ahead = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
@@ -149,8 +153,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
     chosen, open_ = None, base.select("pattern", "pick", "doc_id", "size", "row")
     for fill in range(max(1, fills)):
         last = fill == max(1, fills) - 1
-        fits = F.expr("2 * before + size <= 2 * need" if last else "before + size <= need")
-        got = c.settle(_first_fit(open_, limits, digits, fits), "chosen")
+        got = c.settle(_first_fit(open_, limits, digits, last), "chosen")
         chosen = got if chosen is None else chosen.unionByName(got)
         if last:
             break
