@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, jaccard, langid, mixing, packing, quality, suffix, warc
+from . import chat, fingerprint, jaccard, langid, mixing, packing, pii, quality, suffix, warc
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 Writing: every row becomes one record. Records with equal payloads are a response once, for the smallest id, and
 revisits that name it otherwise. Ids, digests and lengths are settled first, in small rows without payloads; the payloads
-then meet their row by id. Each task streams its records into one archive, under a temporary name until it is whole, so
+then meet their row by id. Each task streams its records into one archive (a gzip member per record), under a temporary name until it is whole, so
 a task that runs again leaves no half archive.
 
 Reading: each archive is streamed. The block of a record comes out as rows (record_id, chunk_no, chunk) of `chunk` bytes
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,45 +43,48 @@ def _filesystem(folder: str):
 
 
 def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Rows (page_id, digest, nth, payload_bytes, record_type, refers_to) without payloads; nth numbers repeated rows."""
+    """One row (page_id, digest, record_type, refers_to) for each id and payload, without payloads."""
     body = F.coalesce("html", F.lit("")).cast("binary")
-    small = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    small = small.groupBy("page_id", "digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"))
-    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"))
-    known = small.join(firsts, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    response = (F.col("payload_bytes") < least) | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
-    return known.select("page_id", "digest", "nth", "payload_bytes", F.when(response, "response").otherwise("revisit").alias("record_type"),
+    small = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).distinct()
+    known = small.join(small.groupBy("digest").agg(F.min("page_id").alias("first")), "digest")
+    response = (F.col("size") < least) | F.col("page_id").eqNullSafe(F.col("first"))
+    return known.select("page_id", "digest", F.when(response, "response").otherwise("revisit").alias("record_type"),
                         F.when(~response, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) to WARC files in `folder`; returns one row per archive."""
     pages = c.as_documents(pages, ("page_id", "url", "html"))
-    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    rows = pages.withColumn("digest", digest)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")).cast("long"))
-    r = roles(pages, least).alias("r")
-    rows = rows.alias("p").join(r, F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest")) & (
-        F.col("p.nth") == F.col("r.nth"))).select("p.page_id", "p.url", "p.html", "p.digest", "r.record_type", "r.refers_to")
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name")
+    rows = pages.select("*", name, F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
+    # Join and numbering need the same distribution: payloads are shuffled once, by id.
+    rows = rows.join(roles(pages, least).select(name, "digest", "record_type", "refers_to"), ["name", "digest"])
+    nth = F.row_number().over(Window.partitionBy("name", "digest").orderBy("url"))
+    again = (F.col("record_type") == "response") & (F.octet_length(F.coalesce("html", F.lit(""))) >= least) & (F.col("nth") > 1)
+    rows = rows.withColumn("nth", nth).select(
+        "page_id", "url", "html", "digest", F.when(again, "revisit").otherwise(F.col("record_type")).alias("record_type"),
+        F.when(again, F.col("page_id")).otherwise(F.col("refers_to")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _filesystem(folder)
         task = TaskContext.get()
-        name = f"{path}/part-{task.partitionId():06d}.warc"
+        name = f"{path}/part-{task.partitionId():06d}.warc.gz"
         held = f"{path}/.{task.partitionId():06d}-{uuid.uuid4().hex}"
         files.create_dir(path, recursive=True)
         n = 0
-        with files.open_output_stream(held) as out:
+        with files.open_output_stream(held, compression=None) as out:
             for batch in batches:
                 columns = [batch.column(i) for i in range(6)]
                 for i in range(batch.num_rows):
                     page, url, html, sha, kind, refers = (col[i] for col in columns)
                     body = html.cast(pa.binary()).as_buffer() if html.is_valid else b""
                     head = _head(page.as_py(), url.as_py(), sha.as_py(), kind.as_py(), refers.as_py(), len(body))
-                    out.write(head)
-                    if kind.as_py() == "response":
-                        out.write(body)
-                    out.write(b"\r\n\r\n")
+                    # Each record is a gzip member of its own, as usual for archives that are read in parts.
+                    member = zlib.compressobj(1, wbits=31)
+                    out.write(member.compress(head))
+                    for at in range(0, len(body) if kind.as_py() == "response" else 0, CHUNK):
+                        out.write(member.compress(memoryview(body)[at:at + CHUNK]))
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
                     n += 1
         if n:
             files.move(held, name)
@@ -105,14 +109,25 @@ def _head(page: int | None, url: str | None, sha: str, kind: str, refers: int |
     return "\r\n".join(lines).encode()
 
 
-def _line(stream) -> bytes:
-    line = bytearray()
-    while not line.endswith(b"\r\n"):
-        got = stream.read(1)
-        if not got:
-            break
-        line += got
-    return bytes(line[:-2]) if line.endswith(b"\r\n") else bytes(line)
+class _Members:
+    """Bytes of the gzip members of a stream, one after another, a block at a time."""
+
+    def __init__(self, raw, block: int = 1 << 18):
+        self.raw, self.block, self.pending, self.member = raw, block, b"", zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while True:
+            out = self.member.decompress(self.pending, n)
+            if self.member.eof:
+                self.pending, self.member = self.member.unused_data, zlib.decompressobj(31)
+            else:
+                self.pending = self.member.unconsumed_tail
+            if out:
+                return out
+            if not self.pending:
+                self.pending = self.raw.read(self.block)
+                if not self.pending:
+                    return b""
 
 
 class _Buffered:
@@ -142,7 +157,7 @@ class _Buffered:
 
 def records(stream, chunk: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of one archive, in order."""
-    source = _Buffered(stream)
+    source = _Buffered(_Members(stream))
     while True:
         line = source.line()
         if not line:
@@ -185,7 +200,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, chunk:
         files, _ = _filesystem(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     held, size = [], 0
                     for row in records(stream, chunk):
                         held.append(row)
