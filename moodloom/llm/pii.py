@@ -92,7 +92,7 @@ _LOOSE = (
     re.compile(r"[\w.+-]{1,64}(?:\s?[\[(]at[\])]\s?| at |\s@\s)[\w-]{1,63}(?:(?:\.|\s?[\[(]dot[\])]\s?| dot )[\w-]{1,63}){1,4}"),
     re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     re.compile(r"(?<![\w.])[0-9](?:[\x20-]?[0-9]){11,18}(?![\w.])"),
-    re.compile(r"(?<![\w.+])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![\w.])"),
+    re.compile(r"(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?|00[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![\w.])"),
 )
 # Gazetteers and context words: open lists of common values.
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu it nl ch at us ca au".split())
@@ -109,7 +109,17 @@ _BEFORE, _AFTER = re.compile(r"(\S+)\s*$"), re.compile(r"\s*(\S+)")
 LABELERS = 5
 
 
-def votes(text: str, kind: int, start: int, end: int, strict: int) -> tuple[int, ...]:
+def strict(span: str, kind: int) -> int:
+    """Checks that a proposal passes (1) or fails (-1) on its own; 0 where its kind has none."""
+    own = digits_of(span)
+    if kind == 2:
+        return 1 if 12 <= len(own) <= 19 and luhn(own) else -1
+    if kind == 3:
+        return (1 if 9 <= len(own) <= 15 else -1) if span[0] == "+" else 0
+    return 0
+
+
+def votes(text: str, kind: int, start: int, end: int, form: int) -> tuple[int, ...]:
     span, own = text[start:end], digits_of(text[start:end])
     around = re.findall(r"[\w-]+", text[max(0, start - 48):start].lower())[-6:]
     if kind == 0:
@@ -127,7 +137,7 @@ def votes(text: str, kind: int, start: int, end: int, strict: int) -> tuple[int,
     context = 1 if FOR[kind] & set(around) else -1 if AGAINST & set(around) else 0
     border = [text[i] for i in (start - 1, end) if 0 <= i < len(text)]
     clean = -1 if any(ch.isalnum() or ch in "=_/\"" for ch in border) else 1
-    return strict, shape, known, context, clean
+    return form, shape, known, context, clean
 
 
 def features(text: str, kind: int, start: int, end: int, cast: tuple[int, ...]) -> list[int]:
@@ -142,7 +152,6 @@ def features(text: str, kind: int, start: int, end: int, cast: tuple[int, ...])
 def proposals(text: str) -> list[dict]:
     """Base spans and loose matches that overlap no span of their kind, with votes and features."""
     base = base_spans(text)
-    failed = {(m.start(), m.end()) for m in _CARD.finditer(text)} | {(m.start(), m.end()) for m in _IP.finditer(text)}
     found = [(s, k, e, True) for s, k, e in base]
     for kind, pattern in enumerate(_LOOSE):
         own = [(s, e) for s, k, e in base]
@@ -151,7 +160,7 @@ def proposals(text: str) -> list[dict]:
                 found.append((m.start(), kind, m.end(), False))
     out = []
     for s, k, e, is_base in sorted(found):
-        cast = votes(text, k, s, e, 1 if is_base else -1 if (s, e) in failed else 0)
+        cast = votes(text, k, s, e, 1 if is_base else strict(text[s:e], k))
         code = 0
         for v in cast:
             code = code * 3 + v + 1
@@ -187,20 +196,22 @@ def proposed(docs: DataFrame) -> DataFrame:
 def reliabilities(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]:
     """Expectation-maximisation for one kind: probability of personal data for each pattern of votes.
 
-    Labelers are independent given the truth; each starts better than chance, with the weight of ten examples.
+    Labelers are independent given the truth; each starts better than chance, with the weight of ten examples, the one
+    of strict form (a check sum, a number of digits) with that of a few hundred.
     """
     codes = sorted(counts)
     cast = np.array([[code // 3 ** (LABELERS - 1 - i) % 3 for i in range(LABELERS)] for code in codes])
     n = np.array([counts[code] for code in codes], float)
     yes = 1 / (1 + np.exp(-(cast - 1).sum(axis=1)))
-    prior = np.array([[1.0, 2.0, 7.0], [7.0, 2.0, 1.0]])
+    priors = [np.array([[1.0, 2.0, 7.0], [7.0, 2.0, 1.0]])] * LABELERS
+    priors[0] = np.array([[1.0, 50.0, 249.0], [249.0, 50.0, 1.0]])
     for _ in range(rounds):
         chance = ((n * yes).sum() + 1) / (n.sum() + 2)
         score = np.full(len(codes), math.log(chance / (1 - chance)))
         for i in range(LABELERS):
             tables = []
             for side, weight in enumerate((n * yes, n * (1 - yes))):
-                table = prior[side] + np.bincount(cast[:, i], weight, minlength=3)
+                table = priors[i][side] + np.bincount(cast[:, i], weight, minlength=3)
                 tables.append(table / table.sum())
             score += np.log(tables[0][cast[:, i]] / tables[1][cast[:, i]])
         yes = 1 / (1 + np.exp(-score.clip(-30, 30)))
@@ -208,13 +219,13 @@ def reliabilities(counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, flo
 
 
 class Model:
-    """Log-odds of each feature and of each kind."""
+    """Log-odds of each kind, and of each feature within it."""
 
     def __init__(self, weights: np.ndarray, bias: list[float]):
         self.weights, self.bias = weights, bias
 
     def likely(self, kind: int, marks: list[int]) -> float:
-        score = self.bias[kind] + sum(float(self.weights[m]) for m in marks)
+        score = self.bias[kind] + sum(float(self.weights[kind, m]) for m in marks)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
 
     def spans(self, found: list[dict], least: float = LEAST) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -238,19 +249,17 @@ def fit(found: DataFrame) -> Model:
     # At most kinds x 3^labelers rows.
     soft = F.broadcast(spark.createDataFrame(rows, "kind int, votes int, yes long"))
     marked = each.select("f.kind", "f.votes", F.explode("f.features").alias("feature")).join(soft, ["kind", "votes"])
-    sums = marked.groupBy("feature").agg(F.sum("yes").alias("yes"), F.count(F.lit(1)).alias("n")).collect()
-    yes, no = np.ones(FEATURES), np.ones(FEATURES)
-    for r in sums:
-        yes[r["feature"]] += r["yes"] / 1e6
-        no[r["feature"]] += r["n"] - r["yes"] / 1e6
-    bias, total = [], [0.0, 0.0]
+    sums = marked.groupBy("kind", "feature").agg(F.sum("yes").alias("yes"), F.count(F.lit(1)).alias("n")).collect()
+    weights, bias = np.zeros((len(KINDS), FEATURES)), []
     for k in range(len(KINDS)):
         own = [(r["count"], likely[k][r["votes"]]) for r in counts if r["kind"] == k]
-        good, bad = sum(n * p for n, p in own) + 1, sum(n * (1 - p) for n, p in own) + 1
+        good, bad = sum(n * p for n, p in own) + 2, sum(n * (1 - p) for n, p in own) + 2
         bias.append(math.log(good / bad))
-        total = [total[0] + good, total[1] + bad]
-    weights = np.log((yes / total[0]) / (no / total[1])).clip(-3, 3)
-    return Model(weights, bias)
+        for r in sums:
+            if r["kind"] == k:
+                yes = r["yes"] / 1e6
+                weights[k, r["feature"]] = math.log((yes + 1) / good) - math.log((r["n"] - yes + 1) / bad)
+    return Model(weights.clip(-4, 4), bias)
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:
