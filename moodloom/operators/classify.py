@@ -15,7 +15,6 @@ from ..session import settle
 from .joining import bounded_join
 
 DOCUMENT = "\u0000document"
-CHUNK_WORDS = 4000
 
 
 def flag_patterns(df: DataFrame, column: str, patterns: Sequence[str] = tuple(fv.POLITICAL_PATTERNS),
@@ -127,45 +126,40 @@ def keyword_df(df: DataFrame, column: str, token_regex: str | None = None,
     return vocabulary(token_counts(df, column, by, token_regex), seed_regex, min_ratio, band, by)
 
 
-def word_hits(df: DataFrame, column: str, vocab: DataFrame, key: str | Sequence[str], values: Sequence[str],
-              by: str | Sequence[str] | None = None, name: str = "hits", chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Add the vocabulary words that occur in the text as substrings, as a list of their `values`.
+def word_hits(df: DataFrame, column: str, vocab: DataFrame, classes: int, by: str | Sequence[str] | None = None,
+              name: str = "hits") -> DataFrame:
+    """Add how many vocabulary words of each class occur in the text as substrings.
 
-    The vocabulary is packed into word lists of at most about `chunk_words` per group and joined by group
-    through a size check, so the text stays where it is. A group with several lists yields one partial
-    list per part, put together by document key.
+    `vocab` has one row per word (`token`, without white space) and its `class`, 0 to classes - 1. The words of a group
+    form one list, joined through a size check, so the text stays where it is. A word that occurs lies inside a run of
+    characters without white space; so the distinct runs are cut into substrings of the lengths the list has, and these
+    meet the list in one hash lookup each. The cost is that of the text plus that of the list, for any list.
     """
-    keys, ids = names(by), names(key)
-    parts = F.pmod(F.xxhash64("token"), F.greatest(F.ceil(F.col("_words") / chunk_words), F.lit(1)))
-    sized = vocab.groupBy(*keys).agg(F.count(F.lit(1)).alias("_words"))
-    if keys:
-        numbered = bounded_join(vocab, sized, keys, "inner")
-    else:
-        numbered = vocab.withColumn("_words", F.coalesce(sized.select("_words").scalar(), F.lit(1)))
-    packed = settle(numbered.withColumn("_part", parts).groupBy(*keys, "_part").agg(
-        F.collect_list(F.struct("token", *values)).alias("_list")))
-    marked, lists = df, packed
-    if not keys:
-        marked, lists = df.withColumn("_one", F.lit(0)), packed.withColumn("_one", F.lit(0))
-    joined = bounded_join(marked, lists, keys or ["_one"], "left", max_rows=2048, settled=True)
-    low = F.lower(F.col(column))
-    found = F.transform(F.filter("_list", lambda w: F.contains(low, w["token"])),
-                        lambda w: F.struct(*[w[v].alias(v) for v in values]))
-    empty = F.array().cast(dict(vocab.select(F.array(F.struct(*values)).alias("a")).dtypes)["a"])
-    scored = computed_once(joined, {name: F.coalesce(found, empty)}).drop("_list", "_part", "_one")
-    if packed.groupBy(*keys).count().where("count > 1").limit(1).count() == 0:
-        return scored
-    lists = scored.groupBy(*ids).agg(F.flatten(F.collect_list(name)).alias(name))
-    return df.join(lists, ids, "left")
-
-
-def count_hits(df: DataFrame, column: str, vocab: DataFrame, key: str | Sequence[str],
+    keys = names(by)
+    lists = [F.collect_list(F.when(F.col("class") == i, F.col("token"))).alias(f"c{i}") for i in range(classes)]
+    packed = settle(vocab.groupBy(*keys).agg(F.struct(
+        F.collect_list("token").alias("words"), F.array_sort(F.collect_set(F.length("token"))).alias("lengths"),
+        *lists).alias("_list")))
+    joined = bounded_join(df, packed, keys, "left", settled=True) if keys else df.withColumn("_list", packed.select("_list").scalar())
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"\S+"), F.lit(0)))
+    none = F.array().cast("array<string>")
+
+    def cuts(run: Column) -> Column:
+        return F.flatten(F.transform(F.col("_list.lengths"), lambda n: F.when(F.length(run) >= n, F.transform(
+            F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))).otherwise(none)))
+
+    found = computed_once(joined, {"_found": F.array_intersect(F.flatten(F.transform(runs, cuts)), F.col("_list.words"))})
+    counts = [F.coalesce(F.size(F.array_intersect(F.col(f"_list.c{i}"), F.col("_found"))), F.lit(0)) for i in range(classes)]
+    known = F.col("_found").isNotNull()
+    return computed_once(found, {name: F.array(*[F.when(known, n).otherwise(0) for n in counts])}).drop("_list", "_found")
+
+
+def count_hits(df: DataFrame, column: str, vocab: DataFrame, key: str | Sequence[str] | None = None,
                by: str | Sequence[str] | None = None) -> DataFrame:
     """Add `core_hits` and `support_hits`: how many words of each kind occur in the text."""
-    found = word_hits(df, column, vocab, key, ["kind"], by, "_hits")
-    return found.withColumns({
-        "core_hits": F.size(F.filter("_hits", lambda h: h["kind"] == "core")),
-        "support_hits": F.size(F.filter("_hits", lambda h: h["kind"] == "support"))}).drop("_hits")
+    classed = vocab.select(*names(by), "token", F.when(F.col("kind") == "core", 0).otherwise(1).alias("class"))
+    found = word_hits(df, column, classed, 2, by, "_hits")
+    return found.withColumns({"core_hits": F.col("_hits")[0], "support_hits": F.col("_hits")[1]}).drop("_hits")
 
 
 def score_relevance(df: DataFrame, column: str, vocab: DataFrame, key: str | Sequence[str],
@@ -249,12 +243,14 @@ def sentiment_columns(df: DataFrame, pos: str = "p_pos", neu: str = "p_neu", neg
 
 def token_length_profile(df: DataFrame, column: str, seeds: Sequence[str] = tuple(fv.MARKET_SEEDS),
                          pattern: str = fv.HANGUL_RUN, max_length: int = 10) -> DataFrame:
-    """Tokens per length and the share of them that are seed words."""
+    """Tokens per length, from 1 to the largest, and the share of them that are seed words (0 where there are none)."""
     runs = df.select(F.explode(tx.tokens(column, pattern)).alias("token"))
     counted = runs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     seeded = F.when(F.rlike("token", F.lit(tx.any_of(seeds))), F.col("n")).otherwise(0)
-    return counted.where(F.length("token") <= max_length).groupBy(F.length("token").alias("token_length")).agg(
+    found = counted.where(F.length("token") <= max_length).groupBy(F.length("token").alias("token_length")).agg(
         F.sum("n").alias("tokens"), (F.sum(seeded) / F.sum("n")).alias("seed_share"))
+    lengths = df.sparkSession.range(1, max_length + 1).select(F.col("id").cast("int").alias("token_length"))
+    return lengths.join(found, "token_length", "left").fillna({"tokens": 0, "seed_share": 0.0})
 
 
 def seed_tokens(df: DataFrame, column: str, min_length: int, max_length: int | None = None, k: int = 8,

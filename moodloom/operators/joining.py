@@ -13,25 +13,38 @@ from ..functions.columns import lookup, names
 from ..session import settle
 from .series import running
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_BYTES = 16 << 20
+MOST_SALTS = 64
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a plan; for a written table it comes from its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bounded_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                 max_rows: int = BROADCAST_ROWS, salts: int = SALTS, settled: bool = False) -> DataFrame:
-    """Join a large table to one that should be small.
+                 max_bytes: int = BROADCAST_BYTES, settled: bool = False) -> DataFrame:
+    """Join a large table to one that should be small; missing keys match missing keys.
 
-    The small side is computed once and counted. Up to `max_rows` it is broadcast, so the large
-    side is not shuffled. Beyond that every key is spread over `salts` parts, so a hot key does
-    not end in one task.
+    The small side is written once and measured. Up to `max_bytes` it is broadcast, so the large
+    side is not shuffled. Beyond that each of its rows is copied once per salt and the large side draws
+    any salt, so a hot key does not end in one task. Every large row meets exactly one copy, so
+    rows are the same either way; inner, left, left_semi and left_anti joins are possible.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no {how} join: rows of the small side may be copied")
     small = small if settled else settle(small)
     keys = names(on)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    size = table_bytes(small)
+    renamed = small.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
+    match = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    extra = [f"_k_{i}" for i in range(len(keys))]
+    if size <= max_bytes:
+        return big.join(F.broadcast(renamed), match, how).drop(*extra)
+    salts = int(min(MOST_SALTS, 2 + size // max(1, max_bytes)))
+    salted = big.withColumn("_salt", F.monotonically_increasing_id() % salts)
+    copies = renamed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, [*match, F.col("_salt") == F.col("_copy")], how).drop("_salt", "_copy", *extra)
 
 
 def outer_chain(dfs: Sequence[DataFrame], on: str | Sequence[str] = "date") -> DataFrame:

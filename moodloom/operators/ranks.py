@@ -40,7 +40,7 @@ def value_blocks(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     kept = F.filter("_all", lambda _, i: (i + 1) % step == 0)
     bounds = sketch.withColumn("_bounds", F.array_distinct(kept)).select(
         *by, "_bounds", F.filter("_bounds", lambda _, i: i % STRIDE == STRIDE - 1).alias("_coarse"))
-    placed = bounded_join(cells, bounds, by, "inner", max_rows=2000)
+    placed = bounded_join(cells, bounds, by, "inner")
     return placed.withColumn("_block", _block_of(F.col(column), F.col("_bounds"), F.col("_coarse"))).drop(
         "_bounds", "_coarse")
 

@@ -30,7 +30,8 @@ def as_rows(df: DataFrame, keys: Sequence[str], cells: Sequence[Mapping[str, Col
 
 
 def _dated(df: DataFrame, ts: str, tz: str | None, score: str, pos: str, neg: str) -> DataFrame:
-    return df.select(local_date(ts, tz).alias("date"), F.col(score).cast("double").alias("_tox"),
+    """Rows with a score; others are no part of a sweep."""
+    return df.where(F.col(score).cast("double").isNotNull()).select(local_date(ts, tz).alias("date"), F.col(score).cast("double").alias("_tox"),
                      sentiment_norm(F.col(pos), F.col(neg)).alias("_norm"))
 
 
@@ -116,28 +117,34 @@ def sweep_window(df: DataFrame, column: str, windows: Sequence[tuple[int, int]]
     words = counts.where(F.col("token") != DOCUMENT)
     joined = bounded_join(words, totals, ["window"], "inner", settled=True)
     core = F.rlike("token", F.lit(tx.any_of(seeds))) & (F.col("doc_count") >= F.col("documents") * F.lit(min_ratio))
-    return joined.groupBy("window").agg(F.count_if(core).alias("core"))
+    found = joined.groupBy("window").agg(F.count_if(core).alias("core"))
+    every = df.sparkSession.createDataFrame([(f"{lo}-{hi}",) for lo, hi in windows], "window string")
+    return every.join(found, "window", "left").fillna({"core": 0})
 
 
 def hit_table(df: DataFrame, column: str, key: str, by: str | Sequence[str], ratios: Sequence[float],
               bands: Sequence[float], seeds: Sequence[str], token_regex: str | None = None) -> tuple[DataFrame, DataFrame]:
     """What every vocabulary sweep needs, computed once.
 
-    The first table holds the words any grid point could use, with their document counts; the second
-    one, per document, the document counts of the words found in it.
+    The first table holds the words any grid point could use, with their document counts; the second one, per
+    document, how many words it has from each step: a word's step is how many of the grid's shares it reaches.
     """
-    keys = names(by)
+    keys, shares = names(by), _shares(ratios, bands)
     counts = token_counts(df, column, keys, token_regex)
     totals = counts.where(F.col("token") == DOCUMENT).select(*keys, F.col("doc_count").alias("documents"))
     words = counts.where((F.col("token") != DOCUMENT) & F.rlike("token", F.lit(tx.any_of(seeds))))
-    loosest = min(ratios) * min(bands)
-    words = settle(bounded_join(words, totals, keys, "inner", settled=True).where(
-        F.col("doc_count") >= F.col("documents") * F.lit(loosest)))
+    step = sum([(F.col("doc_count") >= F.col("documents") * F.lit(r) * F.lit(b)).cast("int") for r, b in shares], F.lit(0))
+    words = settle(bounded_join(words, totals, keys, "inner", settled=True).withColumn("class", step - 1).where("class >= 0"))
     texts = df.where(tx.has_text(column)).select(*keys, key, column)
-    hits = word_hits(texts, column, words, key, ["doc_count", "documents"], keys)
+    hits = word_hits(texts, column, words.select(*keys, "token", "class"), len(shares), keys)
     return words, settle(hits.select(*keys, key, "hits"))
 
 
+def _shares(ratios: Sequence[float], bands: Sequence[float]) -> list[tuple[float, float]]:
+    """Every share of documents (ratio times band) at which some grid point changes its mind, ascending."""
+    return sorted({(r, b) for r in ratios for b in (1.0, *bands)}, key=lambda p: (p[0] * p[1], p))
+
+
 def _kinds(ratio: float, band: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     def core(h: Column) -> Column:
         return h["doc_count"] >= h["documents"] * F.lit(ratio)
@@ -148,11 +155,23 @@ def _kinds(ratio: float, band: float) -> tuple[Callable[[Column], Column], Calla
     return core, support
 
 
-def _pass_share(ratio: float, band: float, core_pt: float, sup_pt: float, cut: float) -> Column:
-    core, support = _kinds(ratio, band)
-    n_core, n_support = F.size(F.filter("hits", core)), F.size(F.filter("hits", support))
+def _pass_share(shares: Sequence[tuple[float, float]], ratio: float, band: float, core_pt: float, sup_pt: float, cut: float) -> Column:
+    """Share of documents that reach the cut; words from `ratio` on are core words, those below from ratio * band on
+    support words."""
+    core, support = shares.index((ratio, 1.0)), shares.index((ratio, band))
+    n_core = sum([F.col("hits")[i] for i in range(core, len(shares))], F.lit(0))
+    n_support = sum([F.col("hits")[i] for i in range(support, core)], F.lit(0))
     keep = (n_core * F.lit(core_pt) + n_support * F.lit(sup_pt) >= cut) & (n_core > 0)
-    return 100.0 * F.avg(keep.cast("double"))
+    return keep.cast("int")
+
+
+def _passed(hits: DataFrame, keep: Sequence[Column]) -> DataFrame:
+    """Documents, and passing ones per grid point."""
+    return hits.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(k).alias(f"n{i}") for i, k in enumerate(keep)])
+
+
+def _share_cells(i: int) -> dict[str, Column]:
+    return {"pass_pct": 100.0 * F.col(f"n{i}") / F.col("_n"), "n_pass": F.col(f"n{i}")}
 
 
 def _word_means(words: DataFrame, keys: Sequence[str], groups: DataFrame, points: Sequence[tuple[float, float]]) -> DataFrame:
@@ -177,9 +196,10 @@ def sweep_df(df: DataFrame, column: str, key: str, by: str | Sequence[str],
     sizes = _word_means(words, names(by), groups, [(r, band) for r in ratios])
     size_rows = as_rows(sizes, [], [{"ratio": F.lit(float(r)), "core": F.col(f"c{i}"), "support": F.col(f"s{i}")}
                                     for i, r in enumerate(ratios)])
-    shares = hits.agg(*[_pass_share(r, band, core_pt, sup_pt, cut).alias(f"p{i}") for i, r in enumerate(ratios)])
+    steps = _shares(ratios, [band])
+    shares = _passed(hits, [_pass_share(steps, r, band, core_pt, sup_pt, cut) for r in ratios])
     return size_rows.join(as_rows(shares, [], [
-        {"ratio": F.lit(float(r)), "pass_pct": F.col(f"p{i}")} for i, r in enumerate(ratios)]), "ratio")
+        {"ratio": F.lit(float(r)), **_share_cells(i)} for i, r in enumerate(ratios)]), "ratio")
 
 
 def sweep_df_words(df: DataFrame, column: str, by: str | Sequence[str], ratios: Sequence[float] = tuple(fv.RATIO_GRID),
@@ -204,9 +224,10 @@ def sweep_points(df: DataFrame, column: str, key: str, by: str | Sequence[str],
                  cut: float = fv.SCORE_CUT, token_regex: str | None = None) -> DataFrame:
     """Share of passing documents per pair of core and support points."""
     _, hits = hit_table(df, column, key, by, [ratio], [band], seeds, token_regex)
-    shares = hits.agg(*[_pass_share(ratio, band, c, s, cut).alias(f"p{i}") for i, (c, s) in enumerate(points)])
+    steps = _shares([ratio], [band])
+    shares = _passed(hits, [_pass_share(steps, ratio, band, c, s, cut) for c, s in points])
     return as_rows(shares, [], [
-        {"label": F.lit(f"{c}:{s}"), "core_pt": F.lit(c), "sup_pt": F.lit(s), "pass_pct": F.col(f"p{i}")}
+        {"label": F.lit(f"{c}:{s}"), "core_pt": F.lit(c), "sup_pt": F.lit(s), **_share_cells(i)}
         for i, (c, s) in enumerate(points)])
 
 
@@ -221,9 +242,10 @@ def sweep_band(df: DataFrame, column: str, key: str, by: str | Sequence[str],
     size_rows = as_rows(sizes, [], [
         {"band": F.lit(float(b)), "band_lo_pct": F.lit(ratio * b * 100), "support": F.col(f"s{i}")}
         for i, b in enumerate(bands)])
-    shares = hits.agg(*[_pass_share(ratio, b, core_pt, sup_pt, cut).alias(f"p{i}") for i, b in enumerate(bands)])
+    steps = _shares([ratio], bands)
+    shares = _passed(hits, [_pass_share(steps, ratio, b, core_pt, sup_pt, cut) for b in bands])
     return size_rows.join(as_rows(shares, [], [
-        {"band": F.lit(float(b)), "pass_pct": F.col(f"p{i}")} for i, b in enumerate(bands)]), "band")
+        {"band": F.lit(float(b)), **_share_cells(i)} for i, b in enumerate(bands)]), "band")
 
 
 def sweep_cut(df: DataFrame, cuts: Sequence[float] = tuple(fv.CUT_GRID), *, score: str = "stock_score",

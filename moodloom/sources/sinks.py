@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import names
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store that the path names has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _write(df: DataFrame, path: str, by: Sequence[str], fmt: str, overwrite: bool, options: dict[str, object]) -> None:
+    """Write groups as partition folders. With `overwrite` the groups that have new rows are replaced, others stay;
+    without it groups that the table already has are left out and the rest is added. Spark writes to a staging folder
+    and moves the groups when all tasks are done, so a failed run changes nothing."""
+    spark = df.sparkSession
+    mode = "overwrite"
+    if not overwrite and _exists(spark, path):
+        there = spark.read.format(fmt).schema(df.schema).options(**options).load(path).select(
+            *[F.col(k).alias(f"_there_{k}") for k in by]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_there_{k}")) for k in by]
+        df, mode = df.join(there, same, "left_anti"), "append"
+    df.write.format(fmt).options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode(mode).save(path)
+
+
 def write_split(df: DataFrame, path: str, disposition: Column, by: str | Sequence[str] = "year", fmt: str = "parquet",
                 overwrite: bool = True, rows_per_file: int = 5_000_000) -> None:
-    """Write kept and dropped rows side by side, as partition folders of one table.
+    """Write kept and dropped rows side by side: one folder per group, `disposition` being a column.
 
-    One write serves the readers of all rows and of either part. Existing years are replaced only
-    where new rows exist, or left alone without `overwrite`. Rows go out from the tasks that hold
-    them, so a large year is written by many tasks.
+    A rerun replaces a group as a whole, whatever its rows' disposition was before. Rows go out from the tasks
+    that hold them, sorted so that a reader of either part skips the blocks of the other.
     """
-    writer = (
-        df.withColumn("disposition", disposition).write.format(fmt)
-        .partitionBy(*names(by), "disposition").option("maxRecordsPerFile", rows_per_file)
-    )
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    if overwrite:
-        writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path)
-    else:
-        writer.mode("ignore").save(path)
+    keys = names(by)
+    rows = df.withColumn("disposition", disposition).sortWithinPartitions(*keys, "disposition")
+    options = {"maxRecordsPerFile": rows_per_file} | ({"header": True} if fmt == "csv" else {})
+    _write(rows, path, keys, fmt, overwrite, options)
 
 
 def write_summary(df: DataFrame, path: str, by: str | Sequence[str] = "year", overwrite: bool = True) -> None:
-    """Summary rows as JSON lines, one folder per group; reading the parent gives all groups."""
-    df.write.mode("overwrite" if overwrite else "ignore").option("ignoreNullFields", False).partitionBy(
-        *names(by)).json(path)
+    """Summary rows, nested lists included, as JSON lines, one folder per group; other groups stay as they are."""
+    _write(df, path, names(by), "json", overwrite, {"ignoreNullFields": False})
 
 
 def first_of_each(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:
@@ -43,10 +55,10 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]
 
 
 def incremental_append(df: DataFrame, target: DataFrame | None, keys: str | Sequence[str],
-                       order: str | Sequence[str] | None = None) -> DataFrame:
-    """Rows whose key the target lacks, each key once."""
+                       order: str | Sequence[str]) -> DataFrame:
+    """Rows whose key the target lacks; of each key the first row in the given order, so a rerun picks the same."""
     ids = names(keys)
-    single = first_of_each(df, ids, order) if order else df.dropDuplicates(ids)
+    single = first_of_each(df, ids, order)
     if target is None:
         return single
     return single.join(target.select(*ids).distinct(), ids, "left_anti")
@@ -55,7 +67,7 @@ def incremental_append(df: DataFrame, target: DataFrame | None, keys: str | Sequ
 def append_news_and_comments(news: DataFrame, comments: DataFrame, target_news: DataFrame, target_comments: DataFrame,
                              order: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """New articles, and the unseen comments of just those articles."""
-    fresh = incremental_append(news, target_news, "news_id")
+    fresh = incremental_append(news, target_news, "news_id", [c for c in news.columns if c != "news_id"] or "news_id")
     of_fresh = comments.join(fresh.select("news_id"), "news_id", "left_semi")
     return fresh, incremental_append(of_fresh, target_comments, "comment_id", order)
 

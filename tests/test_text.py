@@ -80,21 +80,34 @@ def test_nested_words_count_twice(spark):
     assert column(out, "is_stock") == ["stock", "other"]
 
 
-def test_word_lists_in_parts(spark):
+def test_word_lists_beyond_the_bound(spark, monkeypatch):
     words = [f"w{i:03d}" for i in range(300)]
-    vocab = spark.createDataFrame([(w, "core" if i % 2 else "support") for i, w in enumerate(words)], "token string, kind string")
-    df = texts(spark, [" ".join(words[i:i + 40]) for i in range(0, 280, 20)] + ["none"])
-    whole = cl.word_hits(df, "text", vocab, "id", ["kind"])
-    parted = cl.word_hits(df, "text", vocab, "id", ["kind"], chunk_words=50)
-    sizes = [len(r) for r in column(whole, "hits")]
-    assert sizes == [len(r) for r in column(parted, "hits")] and sizes[0] == 40 and sizes[-1] == 0
+    vocab = spark.createDataFrame([(w, i % 2, g) for i, w in enumerate(words) for g in ("x", None)], "token string, class int, g string")
+    rows = [("x" if i % 3 else None, " ".join(words[i:i + 40]).upper() + "!", {"a": 1}) for i in range(0, 280, 20)] + [("x", "none", None), ("y", "w001", None)]
+    df = spark.createDataFrame(rows * 2, "g string, text string, m map<string, int>")
+    near = cl.word_hits(df, "text", vocab, 2, "g").collect()
+    monkeypatch.setattr(jn, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(jn.bounded_join, "__defaults__", ("left", 1, False))
+    far = cl.word_hits(df, "text", vocab, 2, "g").collect()
+    assert len(near) == len(far) == 2 * len(rows)
+    assert sorted(map(str, near)) == sorted(map(str, far))
+    assert sorted({tuple(r["hits"]) for r in near}) == [(0, 0), (20, 20)]
+
+
+def test_word_hits_inside_words(spark):
+    vocab = spark.createDataFrame([("ab", 0), ("bc", 1), ("abc", 1), ("é", 0)], "token string, class int")
+    df = texts(spark, ["xABCx ab", "a b c", "É.bc", ""])
+    assert column(cl.word_hits(df, "text", vocab, 2), "hits") == [[1, 2], [0, 0], [1, 1], [0, 0]]
 
 
 def test_bounded_join_beyond_the_bound(spark):
-    big = spark.range(5000).withColumn("k", (F.col("id") % 7).cast("int"))
-    small = spark.createDataFrame([(i, i * 10) for i in range(6)], "k int, v int")
-    near, far = (jn.bounded_join(big, small, ["k"], "left", max_rows=m) for m in (100, 2))
-    assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, far.select(near.columns).collect()), key=str)
+    key = F.when(F.col("id") % 7 < 6, (F.col("id") % 7).cast("int"))
+    big = spark.range(5000).select((F.col("id") % 2500).alias("id"), key.alias("k"), F.create_map(F.lit("a"), F.col("id") % 3).alias("m"))
+    small = spark.createDataFrame([(i, i * 10) for i in range(5)] + [(None, -1)], "k int, v int")
+    for how in ("left", "inner", "left_anti"):
+        near, far = (jn.bounded_join(big, small, ["k"], how, max_bytes=m) for m in (1 << 20, 1))
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.select(near.columns).collect()))
+    assert jn.bounded_join(big, small, ["k"], "inner", max_bytes=1).count() == 5000 - big.where("k = 5").count()
 
 
 def test_sentiment_ties(spark):

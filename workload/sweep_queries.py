@@ -76,7 +76,8 @@ def sweep_window(spark, sf):
 def shares_sql(points: list[tuple[str, float, float, float, float]]) -> str:
     """Share of passing documents for (label, ratio, band, core points, support points)."""
     parts = [f"""
-SELECT {label} AS label, 100.0 * avg(CASE WHEN nc * {cp} + ns * {sp} >= 150 AND nc > 0 THEN 1.0 ELSE 0.0 END) AS pass_pct FROM (
+SELECT {label} AS label, 100.0 * avg(CASE WHEN nc * {cp} + ns * {sp} >= 150 AND nc > 0 THEN 1.0 ELSE 0.0 END) AS pass_pct,
+  count(*) FILTER (WHERE nc * {cp} + ns * {sp} >= 150 AND nc > 0) AS n_pass FROM (
   SELECT d.doc_id, count(*) FILTER (WHERE contains(lower(d.text), v.token) AND v.doc_count >= v.documents * {r}::DOUBLE) AS nc,
     count(*) FILTER (WHERE contains(lower(d.text), v.token) AND v.doc_count < v.documents * {r}::DOUBLE
       AND v.doc_count >= v.documents * {r}::DOUBLE * {b}::DOUBLE) AS ns
@@ -99,13 +100,13 @@ def loose(ratio: float, band: float) -> str:
 loose AS (SELECT * FROM vocab WHERE doc_count >= documents * CAST({ratio * band} AS DOUBLE))"""
 
 
-RATIOS = [0.15, 0.2, 0.3]
+RATIOS = [0.005, 0.15, 0.2, 0.3]
 
 
 @query("sweep_df", f"""
-SELECT label AS ratio, core, support, pass_pct FROM ({sizes_sql([(f'{r}::DOUBLE', r, 0.3) for r in RATIOS])}) AS s
+SELECT label AS ratio, core, support, pass_pct, n_pass FROM ({sizes_sql([(f'{r}::DOUBLE', r, 0.3) for r in RATIOS])}) AS s
 JOIN ({shares_sql([(f'{r}::DOUBLE', r, 0.3, 10, 3) for r in RATIOS])}) AS p USING (label)""",
-       doubles="ratio core support pass_pct", with_=f"WITH {loose(0.15, 0.3)}")
+       doubles="ratio core support pass_pct", with_=f"WITH {loose(0.005, 0.3)}")
 def sweep_df(spark, sf):
     return sw.sweep_df(docs(spark, sf), "text", "doc_id", "lang", RATIOS, seeds=SEEDS, cut=150)
 
@@ -113,8 +114,8 @@ def sweep_df(spark, sf):
 @query("sweep_df_words", """
 SELECT ratio, token, n, rank FROM (
   SELECT ratio, token, CAST(sum(doc_count) AS BIGINT) AS n, row_number() OVER (PARTITION BY ratio ORDER BY sum(doc_count) DESC, token) AS rank
-  FROM (SELECT *, unnest([0.15, 0.2, 0.3]::DOUBLE[]) AS ratio FROM counts JOIN totals USING (lang)) AS g
-  WHERE doc_count >= documents * ratio GROUP BY 1, 2) AS q WHERE rank <= 30""", doubles="ratio", with_=f"WITH {loose(0.15, 0.3)}")
+  FROM (SELECT *, unnest([0.005, 0.15, 0.2, 0.3]::DOUBLE[]) AS ratio FROM counts JOIN totals USING (lang)) AS g
+  WHERE doc_count >= documents * ratio GROUP BY 1, 2) AS q WHERE rank <= 30""", doubles="ratio", with_=f"WITH {loose(0.005, 0.3)}")
 def sweep_df_words(spark, sf):
     words = sw.sweep_df_words(docs(spark, sf), "text", "lang", RATIOS, seeds=SEEDS)
     return words.withColumn("rank", F.col("rank").cast("bigint"))
@@ -123,16 +124,16 @@ def sweep_df_words(spark, sf):
 @query("sweep_points", shares_sql([(f"'{c}:{s}'", 0.2, 0.3, c, s) for c, s in fv.POINT_GRID]), doubles="pass_pct",
        with_=f"WITH {loose(0.2, 0.3)}")
 def sweep_points(spark, sf):
-    return sw.sweep_points(docs(spark, sf), "text", "doc_id", "lang", ratio=0.2, seeds=SEEDS, cut=150).select("label", "pass_pct")
+    return sw.sweep_points(docs(spark, sf), "text", "doc_id", "lang", ratio=0.2, seeds=SEEDS, cut=150).select("label", "pass_pct", "n_pass")
 
 
 @query("sweep_band", f"""
-SELECT label AS band, support, pass_pct FROM ({sizes_sql([(f'{b}::DOUBLE', 0.2, b) for b in fv.BAND_GRID])}) AS s
+SELECT label AS band, support, pass_pct, n_pass FROM ({sizes_sql([(f'{b}::DOUBLE', 0.2, b) for b in fv.BAND_GRID])}) AS s
 JOIN ({shares_sql([(f'{b}::DOUBLE', 0.2, b, 10, 3) for b in fv.BAND_GRID])}) AS p USING (label)""",
        doubles="band support pass_pct", with_=f"WITH {loose(0.2, 0.1)}")
 def sweep_band(spark, sf):
     return sw.sweep_band(docs(spark, sf), "text", "doc_id", "lang", ratio=0.2, seeds=SEEDS, cut=150).select(
-        "band", "support", "pass_pct")
+        "band", "support", "pass_pct", "n_pass")
 
 
 @query("sweep_cut", """
@@ -223,6 +224,52 @@ def write_split(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+SPLIT_AGAIN = """
+SELECT year(o_orderdate) AS year, {kept} AS disposition, count(*) AS n FROM orders WHERE {where} GROUP BY 1, 2"""
+
+
+def split_counts(spark, path):
+    return spark.read.parquet(path).groupBy(F.col("year").cast("bigint").alias("year"), "disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("write_split_rerun", SPLIT_AGAIN.format(
+    kept="CASE WHEN year(o_orderdate) = 1995 OR o_orderstatus = 'F' THEN 'kept' ELSE 'dropped' END", where="true"))
+def write_split_rerun(spark, sf):
+    """A rerun of one year with another cut leaves nothing of the first run in that year, and other years alone."""
+    path = scratch(spark, "split")
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    sinks.write_split(orders, path, F.when(F.col("o_orderstatus") == "F", "kept").otherwise("dropped"))
+    sinks.write_split(orders.where("year = 1995"), path, F.lit("kept"))
+    return split_counts(spark, path)
+
+
+@query("write_split_new_year", SPLIT_AGAIN.format(
+    kept="CASE WHEN year(o_orderdate) > 1995 THEN 'kept' WHEN o_orderstatus = 'F' THEN 'kept' ELSE 'dropped' END", where="true"))
+def write_split_new_year(spark, sf):
+    """Without overwriting, years that are there stay as they are and new ones are added."""
+    path = scratch(spark, "split")
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    cut = F.when(F.col("o_orderstatus") == "F", "kept").otherwise("dropped")
+    sinks.write_split(orders.where("year <= 1995"), path, cut, overwrite=False)
+    sinks.write_split(orders, path, F.lit("kept"), overwrite=False)
+    return split_counts(spark, path)
+
+
+@query("write_summary_two_years", """
+SELECT year(o_orderdate) AS year, CASE WHEN year(o_orderdate) = 1995 THEN -1 ELSE count(*) END AS total,
+  array_to_string(list_sort(list(DISTINCT o_orderpriority)), ';') AS words FROM orders GROUP BY 1""")
+def write_summary_two_years(spark, sf):
+    """Years are written one call each, with nested lists; the last call replaces one of them only."""
+    path = scratch(spark, "summary")
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    figures = orders.groupBy("year").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_set("o_orderpriority")).alias("words"))
+    sinks.write_summary(figures.where("year <= 1995"), path)
+    sinks.write_summary(figures.where("year >= 1995"), path, overwrite=False)
+    sinks.write_summary(figures.where("year = 1995").withColumn("total", F.lit(-1).cast("bigint")), path)
+    read = spark.read.schema("total bigint, words array<string>, year bigint").json(path)
+    return read.select("year", "total", F.array_join("words", ";").alias("words"))
+
+
 @query("write_summary", "SELECT year(o_orderdate) AS year, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS kept FROM orders GROUP BY 1")
 def write_summary(spark, sf):
     path = scratch(spark, "summary")
