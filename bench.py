@@ -16,14 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from moodloom.session import build_session, ship_package  # noqa: E402
 from workload import catalog  # noqa: E402
 
-# Streams, file round trips, and variants of a query that is timed already.
-LEFT_OUT = {
-    "gbt_compare", "ts_cv", "feature_importance", "unseen_comments_stream", "daily_sentiment_stream", "src_csv",
-    "scan_years", "write_split", "write_summary", "sweep_pipeline", "strategy_plan", "walk_forward_index_signed",
-    "ablation", "walk_forward_vol_egarch", "static_index", "score_filter", "exposure_contrarian", "coverage_gap_top",
-    "exceed_by_group", "compare_with_market", "perf_oos", "sweep_points", "sweep_df_words", "regime",
-}
-
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,7 +29,7 @@ def main() -> None:
     spark.range(1000).groupBy("id").count().write.format("noop").mode("overwrite").save()
     times, failed = {}, {}
     for name, run in catalog.QUERIES.items():
-        if (chosen and name not in chosen) or (not chosen and name in LEFT_OUT):
+        if chosen and name not in chosen:
             continue
         start = time.perf_counter()
         try:

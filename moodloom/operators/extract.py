@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.columns import names
 from ..functions.fixed_values import ARTICLE_PATH, DATE_PATTERNS, HEADLINE_LINK
 
-ANCHOR = r'(?is)<a\b[^>]*?\shref\s*=\s*"([^"]+)"[^>]*>(.*?)</a\s*>'
+# Quoted either way or bare; the groups of the three are alternatives.
+ANCHOR = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|'([^']+)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+TITLE_ATTRIBUTE = r"""(?is)^<a\b[^>]*?\stitle\s*=\s*(?:"([^"]+)"|'([^']+)')"""
 
 
 def extract_ids(df: DataFrame, url: str, path: str = ARTICLE_PATH, query_keys: tuple[str, str] | None = ("oid", "aid"),
-                template: str | None = None) -> DataFrame:
+                template: str | None = None, query_shapes: tuple[str, str] = (r"^\d{3}$", r"^\d{10}$")) -> DataFrame:
     """Add the two ids of an address and, if a template is given, its canonical form."""
-    found = df.withColumn("_ids", tx.ids_from_url(url, path, query_keys))
+    found = df.withColumn("_ids", tx.ids_from_url(url, path, query_keys, query_shapes))
     found = found.withColumns({"first_id": F.col("_ids.first_id"), "second_id": F.col("_ids.second_id")}).drop("_ids")
     if template:
         found = found.withColumn("canonical", canonical_url("first_id", "second_id", template))
@@ -35,30 +36,37 @@ def extract_links(df: DataFrame, html: str, url: str, key: str | Sequence[str],
                   template: str = "%s/%s") -> DataFrame:
     """Links of each page that carry ids, once per id pair, in page order.
 
-    Styled headline links are used where the page has any; otherwise every anchor counts. The page
-    text is scanned once per pattern and never shuffled: only (page key, ids, title) rows are, and
-    repeats of a link collapse before the shuffle.
+    Styled headline links are used where the page has any; otherwise every anchor counts, whichever way its address is
+    quoted. An anchor without text has the text of its `title` attribute. Everything happens inside the page's row:
+    nothing is shuffled.
     """
     keys = names(key)
     patterns = [p if p.startswith("(?") else f"(?s){p}" for p in (styled, ANCHOR)]
 
     def matches(style: int) -> Column:
         whole = F.regexp_extract_all(F.col(html), F.lit(patterns[style]), F.lit(0))
-        return F.transform(whole, lambda m, i: F.struct(
-            F.lit(style).alias("style"), i.alias("position"),
-            F.regexp_extract(m, patterns[style], 1).alias("href"),
-            F.regexp_extract(m, patterns[style], 2).alias("title")))
-
-    rows = df.select(*keys, url, F.explode(F.concat(matches(0), matches(1))).alias("_m")).select(*keys, url, "_m.*")
-    resolved = rows.withColumn("_url", tx.absolute_url(tx.unescape("href"), url))
-    found = resolved.withColumn("_ids", tx.ids_from_url("_url", path, query_keys)).where(F.col("_ids").isNotNull())
-    first = found.groupBy(*keys, "_ids.first_id", "_ids.second_id", "style").agg(
-        F.min(F.struct("position", "title")).alias("_at"))
-    best = first.withColumn("_best", F.min("style").over(Window.partitionBy(*keys))).where(
-        F.col("style") == F.col("_best"))
-    return best.select(*keys, F.col("_at.position").alias("position"), "first_id", "second_id",
-                       F.format_string(template, "first_id", "second_id").alias("canonical"),
-                       tx.strip_tags("_at.title").alias("title"))
+        groups = [1] if style == 0 else [1, 2, 3]
+        last = 2 if style == 0 else 4
+
+        def link(m: Column, i: Column) -> Column:
+            href = F.concat(*[F.regexp_extract(m, patterns[style], g) for g in groups])
+            own = tx.strip_tags(F.regexp_extract(m, patterns[style], last))
+            named = tx.normalize_space(F.concat(*[F.regexp_extract(m, TITLE_ATTRIBUTE, g) for g in (1, 2)]))
+            ids = tx.ids_from_url(tx.absolute_url(tx.unescape(href), F.col(url)), path, query_keys)
+            return F.struct(i.alias("position"), ids.alias("ids"), F.when(own == "", named).otherwise(own).alias("title"))
+
+        found = F.filter(F.transform(whole, link), lambda x: x["ids"].isNotNull())
+        # First of each pair of ids, in page order.
+        seen = F.transform(found, lambda x: x["ids"])
+        return F.filter(found, lambda x, i: F.array_position(seen, x["ids"]) == i + 1)
+
+    both = df.select(*keys, F.inline(F.array(F.struct(matches(0).alias("_styled"), matches(1).alias("_any")))))
+    best = F.when(F.size("_styled") > 0, F.col("_styled")).otherwise(F.col("_any"))
+    rows = both.select(*keys, F.explode(best).alias("_m"))
+    return rows.select(*keys, F.col("_m.position").alias("position"), F.col("_m.ids.first_id").alias("first_id"),
+                       F.col("_m.ids.second_id").alias("second_id"),
+                       F.format_string(template, "_m.ids.first_id", "_m.ids.second_id").alias("canonical"),
+                       F.col("_m.title").alias("title"))
 
 
 def normalize_space(df: DataFrame, column: str, name: str | None = None) -> DataFrame:

@@ -260,13 +260,10 @@ def build_features(df: DataFrame, sent_ma: int = 10, by: Order | None = None, or
     return shifted.withColumnRenamed("next_return", "log_return_t+1")
 
 
-def state_bucket(df: DataFrame, column: str, name: str = "state", colour: str | None = None,
-                 detail: str | None = None) -> DataFrame:
-    """Mood label of a 0-100 score; colour and description on request."""
+def state_bucket(df: DataFrame, column: str, name: str = "state", colour: str | None = None) -> DataFrame:
+    """Mood label of a 0-100 score; its colour on request."""
     value = F.col(column)
     out = {name: steps(value, fv.MOOD_STATES)}
     if colour:
         out[colour] = steps(value, fv.MOOD_COLOURS)
-    if detail:
-        out[detail] = steps(value, fv.MOOD_DETAILS)
     return df.withColumns(out)

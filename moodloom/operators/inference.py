@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,12 +48,19 @@ def two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 def ttest_1samp(df: DataFrame, column: str, cond: Column | None = None, by=None) -> DataFrame:
     """Is the mean 0, over all rows or those that meet a condition."""
-    value = F.col(column) if cond is None else F.when(cond, F.col(column))
-    moments = df.groupBy(*names(by)).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    t = F.try_divide(F.col("mean"), F.col("std") / F.sqrt("n"))
-    return moments.withColumn("t_stat", t).withColumn(
-        "p_value", two_sided_p("t_stat", (F.col("n") - 1).cast("double")))
+    return ttests_1samp(df, column, {"": cond}, by)
+
+
+def ttests_1samp(df: DataFrame, column: str, conds: Mapping[str, Column | None], by=None) -> DataFrame:
+    """Several such tests in one aggregate; the name of each is the ending of its columns."""
+    values = {end: F.col(column) if cond is None else F.when(cond, F.col(column)) for end, cond in conds.items()}
+    out = df.groupBy(*names(by)).agg(*[call(v).alias(f"{name}{end}") for end, v in values.items() for name, call in (
+        ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
+    for end in values:
+        t = F.try_divide(F.col(f"mean{end}"), F.col(f"std{end}") / F.sqrt(f"n{end}"))
+        out = out.withColumn(f"t_stat{end}", t).withColumn(
+            f"p_value{end}", two_sided_p(f"t_stat{end}", (F.col(f"n{end}") - 1).cast("double")))
+    return out
 
 
 def ttest_welch(df: DataFrame, column: str, score: str, lo: float = 0.25, hi: float = 0.75, by=None) -> DataFrame:

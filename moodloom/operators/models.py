@@ -309,10 +309,7 @@ def ts_cv(df: DataFrame, feats: Sequence[str], target: str = "target_5d", k: int
     return errors, predictions, model
 
 
-FAMILIES = {"sentiment": "sent_|neg_z|composite", "trend_volatility": "egarch|vol_|ma_ratio|rsi|mom|above|trend"}
-
-
-def feature_importance(spark, model, feats: Sequence[str], families: Mapping[str, str] = FAMILIES,
+def feature_importance(spark, model, feats: Sequence[str], families: Mapping[str, str] = fv.FEATURE_FAMILIES,
                        other: str = "other") -> DataFrame:
     """Importance of each feature with its family and the family's share. One row per feature."""
     values = model.featureImportances.toArray()

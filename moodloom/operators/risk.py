@@ -13,7 +13,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import clip, flag, lookup, names, ratio
 from .aggregates import with_grid
 from .joining import bounded_join
-from .series import Spans, over_frames
+from .series import Spans, over_frames, running
 from .windows import account_nav, drawdown
 
 
@@ -156,17 +156,25 @@ def perf_oos(df: DataFrame, first: int = 2, min_rows: int = 50, strategy: Strate
 
 
 def account_stats(wide: DataFrame, strategies: Sequence[str], capital: float, monthly: float = 0.0,
-                  order: str = "date", baseline: str | None = None) -> DataFrame:
-    """Account figures of several strategies held as columns of log returns."""
-    long = wide.select(order, F.explode(F.array(*[
+                  order: str = "date", baseline: str | None = None, by=None) -> DataFrame:
+    """Account figures of several strategies held as columns of log returns, for each series.
+
+    A strategy without any return keeps its capital: value and contribution are the capital, all other figures 0.
+    """
+    groups = names(by)
+    keys = [*groups, "strategy"]
+    long = wide.select(*groups, order, F.explode(F.array(*[
         F.struct(F.lit(s).alias("strategy"), F.col(s).cast("double").alias("_ret")) for s in strategies])).alias("_s"))
-    long = long.select(order, "_s.*")
-    nav = account_nav(long, "_ret", capital, monthly, order, "strategy")
-    peak = F.max("nav").over(Window.partitionBy("strategy").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    figures = nav.withColumn("_fall", F.col("nav") / peak - 1).groupBy("strategy").agg(
+    long = long.select(*groups, order, "_s.*")
+    nav = account_nav(long, "_ret", capital, monthly, order, keys)
+    peaked = running(nav, {"_peak": ("max", F.col("nav"))}, order, keys)
+    figures = peaked.withColumn("_fall", F.col("nav") / F.col("_peak") - 1).groupBy(*keys).agg(
         F.max_by("nav", order).alias("final_value"), F.max_by("contributed", order).alias("contributed"),
         F.count("_ret").alias("n"), F.sum("_ret").alias("_sum"),
         (F.stddev_pop("_ret") * math.sqrt(fv.TRADING_DAYS)).alias("ann_vol"), F.min("_fall").alias("mdd"))
+    some = F.col("n") > 0
+    figures = figures.withColumns({c: F.when(some, F.col(c)).otherwise(F.lit(float(other))) for c, other in (
+        ("final_value", capital), ("contributed", capital), ("ann_vol", 0.0), ("mdd", 0.0), ("_sum", 0.0))})
     years = F.greatest(F.col("n") / fv.TRADING_DAYS, F.lit(1.0 / fv.TRADING_DAYS))
     figures = figures.withColumns({
         "profit": F.col("final_value") - F.col("contributed"),
@@ -175,8 +183,12 @@ def account_stats(wide: DataFrame, strategies: Sequence[str], capital: float, mo
     figures = figures.withColumn("sharpe", F.coalesce(ratio(F.col("ann_ret"), F.col("ann_vol")), F.lit(0.0)))
     if baseline is None:
         return figures
-    held = figures.where(F.col("strategy") == baseline).select("final_value").scalar()
-    return figures.withColumn("delta_vs_baseline", F.col("final_value") - held)
+    held = figures.where(F.col("strategy") == baseline)
+    if not groups:
+        return figures.withColumn("delta_vs_baseline", F.col("final_value") - held.select("final_value").scalar())
+    base = held.select(*groups, F.col("final_value").alias("_held"))
+    return bounded_join(figures, base, groups, "left").withColumn(
+        "delta_vs_baseline", F.col("final_value") - F.col("_held")).drop("_held")
 
 
 def compare_with_market(figures: DataFrame, baseline: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.columns import clip, flag, names, normal_cdf, ratio
 from ..functions.fixed_values import EPS
+from .joining import bounded_join
 from .series import Order, Spans, ordered, over_frames, running, with_position
 
 
@@ -205,12 +206,19 @@ def rolling_z(df: DataFrame, column: str, n: int = 60, min_periods: int = 20, or
 def heat(df: DataFrame, strength: str = "sent_strength_w", volume: str = "log_effective_n",
          by: Order | None = None, name: str = "heat") -> DataFrame:
     """Product of two whole-series z-scores. It looks at the whole series, later rows included."""
-    whole = Window.partitionBy(*names(by))
+    keys, cols = names(by), (strength, volume)
+    moments = df.groupBy(*keys).agg(*[call(c).alias(f"_{kind}{i}") for i, c in enumerate(cols)
+                                      for kind, call in (("m", F.avg), ("s", F.stddev_samp))])
+    if keys:
+        joined = bounded_join(df, moments, keys, "left")
+    else:
+        whole = moments.select(F.struct("*").alias("_w"))
+        joined = df.withColumn("_w", whole.scalar()).select("*", "_w.*").drop("_w")
 
-    def z(c: str) -> Column:
-        return (F.col(c) - F.avg(c).over(whole)) / (F.stddev_samp(c).over(whole) + EPS)
+    def z(i: int) -> Column:
+        return (F.col(cols[i]) - F.col(f"_m{i}")) / (F.col(f"_s{i}") + EPS)
 
-    return df.withColumn(name, z(strength) * z(volume))
+    return joined.withColumn(name, z(0) * z(1)).drop("_m0", "_s0", "_m1", "_s1")
 
 
 def forward_sum(df: DataFrame, column: str, n: int = 5, order: Order = "date", by: Order | None = None,
@@ -278,9 +286,12 @@ def topk_per_group(df: DataFrame, by: Order, order: str, key: str, k: int, tie:
     """
     groups, ties = names(by), names(tie)
     rest = [c for c in df.columns if c not in (*groups, key)]
-    best = F.struct(F.col(order), *[(-F.col(t)).alias(f"_t{i}") for i, t in enumerate(ties)],
-                    *[F.col(c) for c in rest if c != order])
-    single = df.groupBy(*groups, key).agg(F.max(best).alias("_best"))
+    # Of a repeated key: the largest value (a number, date or time), then the smallest ties and the rest, of any type.
+    kind = dict(df.dtypes)[order]
+    value = F.unix_date(order) if kind == "date" else F.unix_micros(order) if kind == "timestamp" else F.col(order)
+    best = F.struct(F.col(order).isNull().alias("_none"), (-value).alias("_down"), *[F.col(c) for c in ties],
+                    *[F.col(c) for c in rest if c not in ties])
+    single = df.groupBy(*groups, key).agg(F.min(best).alias("_best"))
     single = single.select(*groups, key, *[F.col(f"_best.{c}").alias(c) for c in rest])
     by_rank = [F.desc(order), *[F.asc(t) for t in ties], F.asc(key)]
     sliced = single.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(64)))

@@ -22,20 +22,24 @@ def allow_charsets(spark: SparkSession) -> None:
 
 
 def read_table_smart(spark: SparkSession, path: str | Sequence[str], encodings: Sequence[str] = tuple(fv.TEXT_ENCODINGS),
-                     schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+                     schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Read CSV files in the first encoding that decodes all of their text.
 
-    Bytes that an encoding cannot read come out as U+FFFD, so each candidate is one distributed scan
-    that stops at the first such character.
+    One distributed scan over the raw bytes tells whether they are valid UTF-8, replacement characters included. For
+    other encodings bytes that cannot be read come out as U+FFFD, so each is a scan that stops at the first of them.
+    Quoted line breaks are read as part of a value; without them, `multi_line=False` lets large files be split.
     """
     candidates = list(dict.fromkeys(_JAVA_NAMES.get(e.lower(), e) for e in encodings))
     paths = [path] if isinstance(path, str) else list(path)
     for charset in candidates:
         if charset not in _PLAIN_CHARSETS:
             allow_charsets(spark)
-        raw = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", charset).schema(
-            "line string").csv(paths)
-        if not raw.where(F.contains("line", F.lit("�"))).limit(1).count():
+        scan = "ISO-8859-1" if charset == "UTF-8" else charset
+        raw = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", scan).schema("line string").csv(paths)
+        # ISO-8859-1 keeps every byte, so encoding the line again gives the bytes of the file.
+        bad = (~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string")) if charset == "UTF-8"
+               else F.contains("line", F.lit("\ufffd")))
+        if not raw.where(bad).limit(1).count():
             reader = spark.read.option("header", True).option("encoding", charset).option("multiLine", multi_line)
             reader = reader.option("escape", '"')
             return (reader.schema(schema) if schema else reader).csv(paths)
@@ -50,11 +54,24 @@ def resolve_column(df: DataFrame, candidates: Sequence[str], what: str = "column
     raise ValueError(f"no {what} among {list(candidates)}; the table has {df.columns}")
 
 
-def normalize_date(df: DataFrame, column: str | None = None, name: str = "date") -> DataFrame:
-    """Rename the date column and read it as a date. Order is left to the windows that need it."""
+DATE_FORMATS = ("yyyy/M/d", "yyyyMMdd", "yyyy.M.d", "yyyy-M-d")
+
+
+def normalize_date(df: DataFrame, column: str | None = None, name: str = "date", strict: bool = False) -> DataFrame:
+    """Rename the date column and read it as a date, in any of the usual spellings. Order is left to the windows that
+    need it. A text that is no date becomes missing, or with `strict` stops the job."""
     source = column or resolve_column(df, fv.DATE_COLUMNS, "date column")
     renamed = df if source == name else df.withColumnRenamed(source, name)
-    return renamed.withColumn(name, F.to_date(F.col(name).try_cast("timestamp")))
+    if dict(renamed.dtypes)[name] != "string":
+        return renamed.withColumn(name, F.to_date(F.col(name).try_cast("timestamp")))
+    text = F.trim(F.col(name))
+    # Eight digits are a day, not a year beyond 9999.
+    plain = F.when(~F.rlike(text, F.lit("^[0-9]{8}$")), text.try_cast("timestamp"))
+    day = F.to_date(F.coalesce(plain, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
+    if strict:
+        unread = day.isNull() & (text != "")
+        day = F.when(unread, F.raise_error(F.concat(F.lit("no date: "), text))).otherwise(day)
+    return renamed.withColumn(name, day)
 
 
 def parse_years(text: str) -> list[int]:

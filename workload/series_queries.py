@@ -251,8 +251,10 @@ def skip_first_n(spark, sf):
 
 @query("normalize_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders")
 def normalize_date(spark, sf):
-    text = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("Date"))
-    return tb.normalize_date(text)
+    day = F.col("o_orderdate").cast("date")
+    kinds = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy.MM.dd", "yyyy-MM-dd HH:mm:ss"]
+    spelled = F.coalesce(*[F.when(F.col("o_orderkey") % len(kinds) == i, F.date_format(day, k)) for i, k in enumerate(kinds)])
+    return tb.normalize_date(table(spark, sf, "orders").select("o_orderkey", spelled.alias("Date")), strict=True)
 
 
 @query("date_spine", """

@@ -113,32 +113,32 @@ def perf_oos(spark, sf):
 
 
 ACCOUNT = BENCH + """,
-wide AS (SELECT b.date, b.hold, b.trend, p.strat_ret AS main FROM bench AS b JOIN positions AS p USING (series, date) WHERE b.series = '1-URGENT'),
-longer AS (SELECT date, 'hold' AS strategy, hold / 10.0 AS r FROM wide UNION ALL SELECT date, 'trend', trend / 10.0 FROM wide UNION ALL SELECT date, 'main', main / 10.0 FROM wide),
-n0 AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY date) AS rn FROM longer),
+wide AS (SELECT series, b.date, b.hold, b.trend, p.strat_ret AS main FROM bench AS b JOIN positions AS p USING (series, date)),
+longer AS (SELECT series, date, 'hold' AS strategy, hold / 10.0 AS r FROM wide UNION ALL SELECT series, date, 'trend', trend / 10.0 FROM wide UNION ALL SELECT series, date, 'main', main / 10.0 FROM wide),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY series, strategy ORDER BY date) AS rn FROM longer),
 acc AS (
-  SELECT strategy, date, rn, r, 1000.0::DOUBLE * exp(r) AS nav, 1000.0::DOUBLE AS contributed FROM n0 WHERE rn = 1
+  SELECT series, strategy, date, rn, r, 1000.0::DOUBLE * exp(r) AS nav, 1000.0::DOUBLE AS contributed FROM n0 WHERE rn = 1
   UNION ALL
-  SELECT n.strategy, n.date, n.rn, n.r,
+  SELECT n.series, n.strategy, n.date, n.rn, n.r,
     (a.nav + CASE WHEN date_trunc('month', n.date) <> date_trunc('month', a.date) THEN 100.0::DOUBLE ELSE 0.0 END) * exp(n.r),
     a.contributed + CASE WHEN date_trunc('month', n.date) <> date_trunc('month', a.date) THEN 100.0::DOUBLE ELSE 0.0 END
-  FROM acc AS a JOIN n0 AS n ON n.strategy = a.strategy AND n.rn = a.rn + 1),
+  FROM acc AS a JOIN n0 AS n ON n.series = a.series AND n.strategy = a.strategy AND n.rn = a.rn + 1),
 stats AS (
-  SELECT strategy, arg_max(nav, date) AS final_value, arg_max(contributed, date) AS contributed, count(r) AS n,
+  SELECT series, strategy, arg_max(nav, date) AS final_value, arg_max(contributed, date) AS contributed, count(r) AS n,
     stddev_pop(r) * sqrt(252.0) AS ann_vol, min(fall) AS mdd, exp(sum(r) / greatest(count(r) / 252.0, 1 / 252.0)) - 1 AS ann_ret
-  FROM (SELECT *, nav / max(nav) OVER (PARTITION BY strategy ORDER BY date) - 1 AS fall FROM acc) AS f GROUP BY strategy)"""
+  FROM (SELECT *, nav / max(nav) OVER (PARTITION BY series, strategy ORDER BY date) - 1 AS fall FROM acc) AS f GROUP BY series, strategy)"""
 
 
 @query("account_stats", """
 SELECT *, final_value - contributed AS profit, final_value / contributed - 1 AS total_return, ann_ret / ann_vol AS sharpe,
-  final_value - (SELECT final_value FROM stats WHERE strategy = 'hold') AS delta_vs_baseline FROM stats""",
+  final_value - max(CASE WHEN strategy = 'hold' THEN final_value END) OVER (PARTITION BY series) AS delta_vs_baseline FROM stats""",
        doubles="final_value contributed ann_vol mdd profit total_return ann_ret sharpe delta_vs_baseline", digits=5,
        with_="WITH RECURSIVE " + ACCOUNT)
 def account_stats(spark, sf):
     held = bench(spark, sf)
     wide = held.join(positions(spark, sf).select("series", "date", F.col("strat_ret").alias("main")), ["series", "date"])
-    scaled = wide.where("series = '1-URGENT'").select("date", *[(F.col(c) / 10.0).alias(c) for c in ("hold", "trend", "main")])
-    return rs.account_stats(scaled, ["hold", "trend", "main"], 1000.0, 100.0, baseline="hold")
+    scaled = wide.select("series", "date", *[(F.col(c) / 10.0).alias(c) for c in ("hold", "trend", "main")])
+    return rs.account_stats(scaled, ["hold", "trend", "main"], 1000.0, 100.0, baseline="hold", by="series")
 
 
 # Two-sided p-value of Student's t by Simpson's rule over the angle; 4000 intervals.
@@ -158,9 +158,8 @@ JOIN (SELECT series, count(x) AS n, avg(x) / (stddev_samp(x) / sqrt(count(x))) A
        with_=f"WITH {POSITIONS}, excess AS (SELECT series, target_reg, strat_ret - target_reg AS x FROM positions)")
 def ttest_1samp(spark, sf):
     excess = positions(spark, sf).withColumn("x", F.col("strat_ret") - F.col("target_reg"))
-    down = inf.ttest_1samp(excess, "x", F.col("target_reg") < 0, "series")
-    return inf.ttest_1samp(excess, "x", None, "series").join(
-        down.select("series", F.col("n").alias("n_down"), F.col("t_stat").alias("t_down")), "series")
+    both = inf.ttests_1samp(excess, "x", {"": None, "_down": F.col("target_reg") < 0}, "series")
+    return both.select("series", "n", "mean", "std", "t_stat", "p_value", "n_down", F.col("t_stat_down").alias("t_down"))
 
 
 @query("ttest_welch", f"""

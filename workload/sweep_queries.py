@@ -184,15 +184,27 @@ def sweep_pipeline(spark, sf):
 
 # --- sources and sinks ---------------------------------------------------------------------------------
 
-@query("src_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, left(text, 0) || CAST(n_chars AS VARCHAR) AS n_chars, source FROM documents")
+LATIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜàáâãäåçèéêëìíîïñòóôõöùúûüß"
+PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUaaaaaaceeeeiiiinooooouuuus"
+
+
+@query("src_csv", f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, source, charset,
+  CASE charset WHEN 'utf-8' THEN concat(text, chr(65533)) ELSE translate(text, '{LATIN}', '{PLAIN}') END AS text
+FROM documents, (VALUES ('utf-8'), ('euc-kr'), ('x-windows-949')) AS c (charset)""")
 def src_csv(spark, sf):
-    """Write the documents in a legacy encoding, then let the reader find it."""
-    path = scratch(spark, "csv")
+    """Whole texts, line breaks and quotes included, in three encodings; the reader finds each. Hangul in every row tells
+    the encodings apart; the UTF-8 file also holds legal replacement characters."""
     tb.allow_charsets(spark)
-    docs(spark, sf).select("doc_id", "lang", "n_chars", F.concat(F.lit("출처 "), "source").alias("source")).write.option(
-        "header", True).option("encoding", "EUC-KR").csv(path)
-    read = tb.read_table_smart(spark, path)
-    return read.withColumn("source", F.regexp_replace("source", "^출처 ", ""))
+    out = None
+    for charset in ("utf-8", "euc-kr", "x-windows-949"):
+        path = scratch(spark, "csv")
+        text = F.concat("text", F.lit("\ufffd")) if charset == "utf-8" else F.translate("text", LATIN, PLAIN)
+        docs(spark, sf).select("doc_id", "lang", "n_chars", F.concat(F.lit("출처 "), "source").alias("source"), text.alias("text")).write.option(
+            "header", True).option("encoding", charset).option("escape", '"').csv(path)
+        read = tb.read_table_smart(spark, path).withColumn("charset", F.lit(charset))
+        out = read if out is None else out.unionByName(read)
+    return out.withColumn("source", F.regexp_replace("source", "^출처 ", ""))
 
 
 @query("scan_years", "SELECT o_orderkey, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1998)")

@@ -362,11 +362,9 @@ FROM (
     CASE WHEN regexp_matches(url, '[?&]page=[^&#]+') AND regexp_matches(url, '[?&]ref=[^&#]+') THEN regexp_extract(url, '[?&]ref=([^&#]+)', 1) END AS d
   FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) AS p) AS q""")
 def extract_ids(spark, sf):
-    found = text_table(spark, sf, "pages").withColumn(
-        "_ids", tx.ids_from_url("url", "^/(en|fr)/([0-9]+)", ("page", "ref"), (".+", ".+")))
-    ids = found.withColumns({"first_id": F.col("_ids.first_id"), "second_id": F.col("_ids.second_id")})
-    return ids.select("page_id", "first_id", "second_id",
-                      ex.canonical_url("first_id", "second_id", "https://example.org/%s/%s").alias("canonical"))
+    found = ex.extract_ids(text_table(spark, sf, "pages"), "url", "^/(en|fr)/([0-9]+)", ("page", "ref"),
+                           "https://example.org/%s/%s", (".+", ".+"))
+    return found.select("page_id", "first_id", "second_id", "canonical")
 
 
 # Test pages link to /word: the first letter and the rest of the word serve as the two ids.
@@ -378,15 +376,38 @@ SELECT page_id, first_id, second_id, title FROM (
       trim(regexp_replace(replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS title
     FROM (
       SELECT page_id, generate_subscripts(m, 1) AS pos,
-        unnest(list_transform(m, lambda x: regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]+)"[^>]*>(.*?)</a\s*>', 1))) AS href,
-        unnest(list_transform(m, lambda x: regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]+)"[^>]*>(.*?)</a\s*>', 2))) AS title
-      FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]+)"[^>]*>(.*?)</a\s*>') AS m FROM pages) AS a
+        unnest(list_transform(m, lambda x: concat(regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 1), regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 2), regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 3)))) AS href,
+        unnest(list_transform(m, lambda x: regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 4))) AS title
+      FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>') AS m FROM (SELECT page_id, html AS html FROM pages) AS h) AS a
     ) AS b
   ) AS c WHERE first_id <> ''
 ) AS d WHERE r = 1""")
 def extract_links(spark, sf):
-    links = ex.extract_links(text_table(spark, sf, "pages"), "html", "url", "page_id", path="^/([a-z])([a-z]+)$",
-                             query_keys=None, template="/%s%s")
+    """Links as the pages have them."""
+    pages = text_table(spark, sf, "pages").withColumn("html", F.col("html"))
+    links = ex.extract_links(pages, "html", "url", "page_id", path="^/([a-z])([a-z]+)$", query_keys=None, template="/%s%s")
+    return links.select("page_id", "first_id", "second_id", "title")
+
+
+@query("extract_links_quoting", r"""
+SELECT page_id, first_id, second_id, title FROM (
+  SELECT page_id, first_id, second_id, title, row_number() OVER (PARTITION BY page_id, first_id, second_id ORDER BY pos) AS r
+  FROM (
+    SELECT page_id, pos, regexp_extract(href, '^/([a-z])([a-z]+)$', 1) AS first_id, regexp_extract(href, '^/([a-z])([a-z]+)$', 2) AS second_id,
+      trim(regexp_replace(replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS title
+    FROM (
+      SELECT page_id, generate_subscripts(m, 1) AS pos,
+        unnest(list_transform(m, lambda x: concat(regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 1), regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 2), regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 3)))) AS href,
+        unnest(list_transform(m, lambda x: regexp_extract(x, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>', 4))) AS title
+      FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)''|([^\s"''>]+))[^>]*>(.*?)</a\s*>') AS m FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, 'href="(/[a-z]+)"', 'href=\1', 'g') WHEN page_id % 2 = 1 THEN regexp_replace(html, 'href="(/[a-z]+)"', 'href=''\1''', 'g') ELSE html END AS html FROM pages) AS h) AS a
+    ) AS b
+  ) AS c WHERE first_id <> ''
+) AS d WHERE r = 1""")
+def extract_links_quoting(spark, sf):
+    """The same with addresses in single quotes on odd pages and without quotes on every third."""
+    pages = text_table(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", 'href="(/[a-z]+)"', "href=$1")).when(
+        F.col("page_id") % 2 == 1, F.regexp_replace("html", 'href="(/[a-z]+)"', "href='$1'")).otherwise(F.col("html")))
+    links = ex.extract_links(pages, "html", "url", "page_id", path="^/([a-z])([a-z]+)$", query_keys=None, template="/%s%s")
     return links.select("page_id", "first_id", "second_id", "title")
 
 
