@@ -249,7 +249,7 @@ def stratified_sample(df: DataFrame, by: str | Sequence[str], n: int = 40_000, k
     Ranking runs inside slices of the group first; a hot group sends at most n rows per slice on.
     """
     keys = names(by)
-    draw = F.xxhash64(F.lit(seed), F.col(key))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     marked = df.withColumn("_draw", draw).withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(slices)))
     rank = F.row_number()
     few = marked.withColumn("_r", rank.over(Window.partitionBy(*keys, "_slice").orderBy("_draw", key))).where(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,17 @@ from ..operators.aggregates import daily_sentiment, stage_summary
 from ..operators.classify import (
     flag_patterns,
     keyword_df,
+    Scorer,
     lexicon_toxicity,
     match_keywords,
     score_relevance,
+    score_text,
     sentiment_columns,
     toxicity_weight,
 )
-from ..operators.filters import drop_empty_text
+from ..operators.filters import drop_empty_text, score_filter
+from ..operators.joining import bounded_join
+from ..session import settle
 
 
 def political_stage(comments: DataFrame, text: str = "text_raw", patterns: Sequence[str] = tuple(fv.POLITICAL_PATTERNS)) -> DataFrame:
@@ -53,3 +57,37 @@ def filter_summary(comments: DataFrame, by: str, text: str = "text_raw", pattern
     return stage_summary(
         staged, {"political": F.col("is_political"), "empty_rows": F.col("is_empty"), "kept": F.col("keep")}, by,
         means={"mean_toxicity": F.when(~F.col("is_empty"), F.col("toxicity_score")), "mean_weight": F.col("weight")})
+
+
+def comment_cascade(comments: DataFrame, load: Callable[[], Scorer], text: str = "text_raw", key: str = "comment_id",
+                    ts: str = "comment_at", by: str = "year", patterns: Sequence[str] = tuple(fv.POLITICAL_PATTERNS),
+                    seeds: Sequence[str] = tuple(fv.MARKET_SEEDS), min_ratio: float = fv.MIN_DOC_RATIO,
+                    cut: float = fv.SCORE_CUT, tz: str | None = fv.LOCAL_ZONE, **lexicon) -> DataFrame:
+    """Comments to daily sentiment: each stage works on the rows the one before kept.
+
+    The toxic stage's result is written once, as both the vocabulary and the scores read it.
+    """
+    calm = political_stage(comments, text, patterns).where(~F.col("is_political")).select(key, by, ts, text)
+    clean = settle(toxicity_stage(calm, text, **lexicon).where("keep").select(key, by, ts, text, "weight"))
+    topical = score_filter(topical_stage(clean, text, key, by, seeds, min_ratio), "stock_score", cut, "core_hits")
+    scored = score_text(topical.select(key, ts, text, "weight"), text, load, ["p_pos", "p_neu", "p_neg"])
+    return daily_sentiment(sentiment_columns(scored), ts, "p_pos", "p_neu", "p_neg", "weight", tz, key)
+
+
+def stage_report(comments: DataFrame, by: str = "year", text: str = "text_raw",
+                 patterns: Sequence[str] = tuple(fv.POLITICAL_PATTERNS), **lexicon) -> DataFrame:
+    """Counts per group with nested lists: documents per political word and per toxicity reason, most frequent first.
+
+    Words and reasons come from fixed lists, so the nested lists are short whatever the corpus.
+    """
+    staged = settle(toxicity_stage(political_stage(comments, text, patterns), text, **lexicon).select(
+        by, "is_political", "matched_keywords", "toxicity_reason", "keep"))
+    counts = staged.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if("is_political").alias("political"),
+                                    F.count_if(~F.col("keep")).alias("toxic"))
+    reasons = F.filter(F.split("toxicity_reason", r"\|"), lambda r: r != "")
+    for name, values in (("words", F.col("matched_keywords")), ("reasons", reasons)):
+        each = staged.select(by, F.explode(values).alias("name")).groupBy(by, "name").agg(F.count(F.lit(1)).alias("n"))
+        listed = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "name"))).alias(name))
+        listed = listed.withColumn(name, F.transform(name, lambda s: F.struct(s["name"].alias("name"), (-s["down"]).alias("n"))))
+        counts = bounded_join(counts, listed, [by], "left")
+    return counts

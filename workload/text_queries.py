@@ -329,7 +329,9 @@ def filter_flags(spark, sf):
     return fl.filter_flags(flags).select("doc_id", "quality", "toxic")
 
 
-@query("stratified_sample", None)
+@query("stratified_sample", """
+SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS r FROM documents) AS q
+WHERE r <= 40""")
 def stratified_sample(spark, sf):
     return ag.stratified_sample(docs(spark, sf), "lang", 40, "doc_id", 7).select("doc_id", "lang", "source")
 
@@ -465,3 +467,47 @@ def flatten_payload(spark, sf):
 SELECT event_id, strftime(ts, '%Y%m%d') AS comment_day FROM events""")
 def comment_day(spark, sf):
     return ex.comment_day(table(spark, sf, "events"), "ts").select("event_id", "comment_day")
+
+
+CASCADE = f"""
+pol AS (SELECT d.*, e.ts FROM documents AS d JOIN events AS e ON e.event_id = d.doc_id WHERE regexp_matches(text, '\\S') AND NOT {FLAG}),
+{KEEP.replace("FROM documents", "FROM pol").strip()},
+clean AS (SELECT * FROM kept WHERE keep),
+{HITS.replace("FROM documents", "FROM clean").strip()},
+probs AS (
+  SELECT ts, weight, pos / (pos + neg + 1.0) AS p_pos, neg / (pos + neg + 1.0) AS p_neg
+  FROM (SELECT doc_id, ts, weight, len(regexp_extract_all(clean.text, '(?i)(?:tion)|(?:heit)'))::DOUBLE AS pos,
+               len(regexp_extract_all(clean.text, '(?i)(?:ing)|(?:eau)'))::DOUBLE AS neg
+        FROM clean JOIN scored USING (doc_id) JOIN (SELECT doc_id, ts FROM pol) AS p USING (doc_id)
+        WHERE core_hits * 10 + support_hits * 3 >= 90 AND core_hits > 0) AS q)"""
+
+
+@query("cascade_daily", """
+SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS date, count(*) AS comment_count, sum(weight) AS weight_sum,
+  sum((p_pos - p_neg) / (p_pos + p_neg + 1e-8) * weight) / (sum(weight) + 1e-8) AS sent_norm_w,
+  sum(p_pos * weight) / (sum(weight) + 1e-8) AS pos_mean_w, sum(p_neg * weight) / (sum(weight) + 1e-8) AS neg_mean_w
+FROM probs GROUP BY 1""", doubles="weight_sum sent_norm_w pos_mean_w neg_mean_w", with_=f"WITH {CASCADE}")
+def cascade_daily(spark, sf):
+    """Documents as comments of the events with their number: political, toxic, topical, scored, by day."""
+    dated = docs(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    daily = cascade.comment_cascade(
+        dated, cl.lexicon_scorer(["tion", "heit"], ["ing", "eau"]), "text", "doc_id", "ts", "lang", PATTERNS, SEEDS, 0.2, 90,
+        categories=CATEGORIES)
+    return daily.select("date", "comment_count", "weight_sum", "sent_norm_w", "pos_mean_w", "neg_mean_w")
+
+
+@query("stage_report", f"""
+SELECT lang, count(*) AS total, count(*) FILTER (WHERE {FLAG}) AS political, count(*) FILTER (WHERE NOT keep) AS toxic,
+  (SELECT string_agg(w || '=' || n, ';' ORDER BY n DESC, w) FROM (
+     SELECT w, count(*) AS n FROM (SELECT lang AS l, unnest(list_filter({_WORDS}, lambda w: contains(lower(text), lower(w)))) AS w FROM kept) AS a
+     WHERE l = k.lang GROUP BY w) AS b) AS words,
+  (SELECT string_agg(w || '=' || n, ';' ORDER BY n DESC, w) FROM (
+     SELECT w, count(*) AS n FROM (SELECT lang AS l, unnest(string_split(toxicity_reason, '|')) AS w FROM kept WHERE toxicity_reason <> '') AS a
+     WHERE l = k.lang GROUP BY w) AS b) AS reasons
+FROM kept AS k WHERE filled GROUP BY lang""", with_=f"WITH {KEEP}")
+def stage_report(spark, sf):
+    def flat(name):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws("=", s["name"], s["n"].cast("string"))), ";").alias(name)
+
+    report = cascade.stage_report(docs(spark, sf), "lang", "text", PATTERNS, categories=CATEGORIES)
+    return report.select("lang", "total", "political", "toxic", flat("words"), flat("reasons"))
