@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.columns import names
-from ..session import settle
+from .ranks import with_quantiles
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -66,10 +67,9 @@ def ttests_1samp(df: DataFrame, column: str, conds: Mapping[str, Column | None],
 def ttest_welch(df: DataFrame, column: str, score: str, lo: float = 0.25, hi: float = 0.75, by=None) -> DataFrame:
     """Do rows of high and of low score differ in mean (unequal variances)."""
     keys = names(by)
-    whole = Window.partitionBy(*keys)
-    marked = df.withColumn("_q", F.percentile(score, F.array(F.lit(lo), F.lit(hi))).over(whole))
-    low = F.when(F.col(score) <= F.col("_q")[0], F.col(column))
-    high = F.when(F.col(score) >= F.col("_q")[1], F.col(column))
+    marked = with_quantiles(df, score, {"_lo": lo, "_hi": hi}, keys)
+    low = F.when(F.col(score) <= F.col("_lo"), F.col(column))
+    high = F.when(F.col(score) >= F.col("_hi"), F.col(column))
     moments = marked.groupBy(*keys).agg(*[
         call(value).alias(f"{name}_{side}") for side, value in (("high", high), ("low", low))
         for name, call in (("n", F.count), ("mean", F.avg), ("_var", F.var_samp))])
@@ -80,57 +80,58 @@ def ttest_welch(df: DataFrame, column: str, score: str, lo: float = 0.25, hi: fl
     return tested.withColumn("p_value", two_sided_p("t_stat", "dof")).drop("_var_high", "_var_low")
 
 
-def draw_counts(n_rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """How often each position is drawn in each replicate, from a hash, so every run draws the same."""
-    size = F.col("_n")
-    drawn = n_rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
-        "_draw", F.pmod(F.xxhash64(F.lit(seed), "rep", "_pos"), size).cast("int"))
-    return drawn.groupBy("rep", "_draw").agg(F.count(F.lit(1)).alias("_m"))
+def drawn(seed: int, rep: int, n: int) -> np.ndarray:
+    """How often each of n rows is drawn in a replicate: by md5 digits, so that every run and engine draws the same."""
+    picks = [int(hashlib.md5(f"{seed}|{rep}|{i}".encode()).hexdigest()[:13], 16) % n for i in range(n)]
+    return np.bincount(picks, minlength=n).astype(float)
 
 
-def bootstrap_spearman(df: DataFrame, a: str, b: str, y: str, n: int = 1000, seed: int = 42,
-                       order: str = "date") -> DataFrame:
-    """Does `a` follow `y` in rank more than `b` does: difference of the correlations, resampled n times.
+def weighted_spearman(times: np.ndarray, x: tuple[np.ndarray, int], y: tuple[np.ndarray, int]) -> float | None:
+    """Rank correlation of rows that count `times` each; a variable is its rows' places among its distinct values."""
+    ranks = []
+    for place, size in (x, y):
+        here = np.bincount(place, times, minlength=size)
+        ranks.append((np.cumsum(here) - (here - 1) / 2)[place])
+    gaps = [r - (times * r).sum() / times.sum() for r in ranks]
+    spread = float((times * gaps[0] ** 2).sum() * (times * gaps[1] ** 2).sum())
+    return float((times * gaps[0] * gaps[1]).sum()) / math.sqrt(spread) if spread > 0 else None
 
-    Each replicate is a group of draw counts, ranked with those counts as weights. Replicates run in
-    parallel; a group never exceeds the length of the daily series.
+
+def bootstrap_spearman(df: DataFrame, a: str, b: str, y: str, n: int = 1000, seed: int = 42, order: str = "date",
+                       by=None, chunk: int = 50) -> DataFrame:
+    """Does `a` follow `y` in rank more than `b` does: difference of the correlations, resampled n times per series.
+
+    A daily series has one row per date, so it fits one row as arrays; chunks of replicates run in parallel on it. The
+    values are ranked once: a replicate only counts how often each place was drawn.
     """
-    clean = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull())
-    rows = settle(clean.select(
-        (F.row_number().over(Window.orderBy(order)) - 1).alias("_pos"),
-        *[F.col(c).cast("double").alias(f"_{k}") for k, c in (("a", a), ("b", b), ("y", y))]))
-    total = rows.count()
-    sized = rows.withColumn("_n", F.lit(total))
-    observed = sized.select(F.lit(0).alias("rep"), F.col("_pos").alias("_draw"), F.lit(1).cast("bigint").alias("_m"))
-    draws = draw_counts(sized.select("_pos", "_n"), n, seed).unionByName(observed)
-    joined = draws.join(rows, draws["_draw"] == rows["_pos"]).drop("_pos", "_draw")
-    ranked = joined
-    for k in ("a", "b", "y"):
-        upto = Window.partitionBy("rep").orderBy(f"_{k}").rangeBetween(Window.unboundedPreceding, 0)
-        same = Window.partitionBy("rep", f"_{k}")
-        ranked = ranked.withColumn(f"_r{k}", F.sum("_m").over(upto) - (F.sum("_m").over(same) - 1) / 2.0)
-
-    def moment(*cols: str) -> Column:
-        product = F.col("_m").cast("double")
-        for c in cols:
-            product = product * F.col(c)
-        return F.sum(product)
-
-    sums = ranked.groupBy("rep").agg(
-        moment().alias("w"), *[moment(f"_r{k}").alias(f"s{k}") for k in "aby"],
-        *[moment(f"_r{k}", f"_r{k}").alias(f"q{k}") for k in "aby"],
-        moment("_ra", "_ry").alias("ay"), moment("_rb", "_ry").alias("by"))
-
-    def corr(k: str) -> Column:
-        cov = F.col(f"{k}y") - F.col(f"s{k}") * F.col("sy") / F.col("w")
-        spread = [F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("w") for i in (k, "y")]
-        return F.try_divide(cov, F.sqrt(spread[0] * spread[1]))
-
-    rho = sums.select("rep", corr("a").alias("rho_a"), corr("b").alias("rho_b"))
+    keys = names(by)
+    cols = [F.col(c).cast("double").alias(f"_{k}") for k, c in (("a", a), ("b", b), ("y", y))]
+    clean = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull()).select(*keys, order, *cols)
+    packed = clean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "_a", "_b", "_y"))).alias("_s"))
+    packed = packed.select(*keys, *[F.col(f"_s.{k}").alias(k) for k in ("_a", "_b", "_y")])
+    starts = list(range(0, n + 1, chunk))
+    jobs = packed.withColumn("_from", F.explode(F.array(*[F.lit(i) for i in starts]))).repartition(len(starts), *keys, "_from")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema.fields if f.name in keys)
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            for row in table.to_dict("records"):
+                places = {}
+                for k in ("_a", "_b", "_y"):
+                    values, place = np.unique(np.asarray(row[k], float), return_inverse=True)
+                    places[k] = (place, len(values))
+                size, out = len(row["_y"]), []
+                for rep in range(row["_from"], min(row["_from"] + chunk, n + 1)):
+                    times = drawn(seed, rep, size) if rep else np.ones(size)
+                    out.append({**{k: row[k] for k in keys}, "rep": rep, "rho_a": weighted_spearman(times, places["_a"], places["_y"]),
+                                "rho_b": weighted_spearman(times, places["_b"], places["_y"])})
+                yield pd.DataFrame(out).astype({"rho_a": "float64", "rho_b": "float64"})
+
+    rho = jobs.mapInPandas(run, f"{kept}{', ' if kept else ''}rep long, rho_a double, rho_b double")
     gap = F.col("rho_a") - F.col("rho_b")
-    real, drawn = F.col("rep") == 0, F.col("rep") > 0
-    return rho.agg(
+    real, resampled = F.col("rep") == 0, F.col("rep") > 0
+    return rho.groupBy(*keys).agg(
         F.max(F.when(real, F.col("rho_a"))).alias("rho_a"), F.max(F.when(real, F.col("rho_b"))).alias("rho_b"),
         F.max(F.when(real, gap)).alias("rho_diff"),
-        F.avg(F.when(drawn, (gap <= 0).cast("double"))).alias("p_value"),
-        F.avg(F.when(drawn, gap)).alias("boot_mean"), F.count_if(drawn).alias("replicates"))
+        F.avg(F.when(resampled, (gap <= 0).cast("double"))).alias("p_value"),
+        F.avg(F.when(resampled, gap)).alias("boot_mean"), F.count_if(resampled).alias("replicates"))

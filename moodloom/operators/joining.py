@@ -47,6 +47,14 @@ def bounded_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return salted.join(copies, [*match, F.col("_salt") == F.col("_copy")], how).drop("_salt", "_copy", *extra)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which missing keys match missing keys; the key columns are those of the left side."""
+    keys = names(on)
+    renamed = right.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
+    match = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, match, how).drop(*[f"_k_{i}" for i in range(len(keys))])
+
+
 def outer_chain(dfs: Sequence[DataFrame], on: str | Sequence[str] = "date") -> DataFrame:
     """Full outer join of several tables on shared keys."""
     return reduce(lambda left, right: left.join(right, names(on), "full_outer"), dfs)

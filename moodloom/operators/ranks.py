@@ -8,14 +8,15 @@ changes a result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import names
-from .joining import bounded_join
+from ..session import settle
+from .joining import bounded_join, null_safe_join
 
 MOST_BLOCKS = 1024
 VALUES_PER_BLOCK = 50_000
@@ -31,7 +32,8 @@ def _block_of(value: Column, bounds: Column, coarse: Column) -> Column:
 
 def value_blocks(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """Value counts `_n` of each group with the block `_block` they fall into."""
-    cells = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    # Written once: the sketch, the block sizes and the ranks all read the counts, never the rows again.
+    cells = settle(df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n")))
     at = [(i + 1) / MOST_BLOCKS for i in range(MOST_BLOCKS - 1)]
     sketch = cells.groupBy(*by).agg(
         F.percentile_approx(column, at, 2 * MOST_BLOCKS).alias("_all"), F.count(F.lit(1)).alias("_values"))
@@ -69,7 +71,7 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], by: str | Sequenc
         (F.floor("_w.rank") < F.col("_start") + F.col("_rows")) & (F.ceil("_w.rank") >= F.col("_start"))).select(
         *anchor, "_block", "_start", "_w.q", "_w.rank")
     within = Window.partitionBy(*anchor, "q", "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.join(needed, [*anchor, "_block"]).withColumn("_end", F.col("_start") + F.sum("_n").over(within))
+    ordered = null_safe_join(placed, needed, [*anchor, "_block"]).withColumn("_end", F.col("_start") + F.sum("_n").over(within))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end")), F.col("_v")))
@@ -80,15 +82,26 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], by: str | Sequenc
     return found.select(*names(by), "q", value.alias("value"))
 
 
+def with_quantiles(df: DataFrame, column: str, columns: Mapping[str, float], by: str | Sequence[str] | None = None) -> DataFrame:
+    """Add quantiles of each group as columns of the given names."""
+    keys = names(by)
+    found = quantiles(df, column, list(columns.values()), keys)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(n) for n, q in columns.items()])
+    if keys:
+        return bounded_join(df, wide, keys, "left")
+    return df.withColumn("_wide", wide.select(F.struct("*").alias("_w")).scalar()).select("*", "_wide.*").drop("_wide")
+
+
 def average_rank(df: DataFrame, column: str, by: str | Sequence[str] | None = None, name: str = "rank") -> DataFrame:
     """Rank from 1; equal values share their mean rank."""
     base, anchor = _grouped(df, by)
     placed = value_blocks(base, column, anchor)
     starts = _block_starts(placed, anchor).select(*anchor, "_block", "_start")
     inside = Window.partitionBy(*anchor, "_block").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(starts, [*anchor, "_block"]).withColumn(
+    ranked = null_safe_join(placed, starts, [*anchor, "_block"]).withColumn(
         name, F.col("_start") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2.0)
-    return base.join(ranked.select(*anchor, column, name), [*anchor, column], "left").drop("_one")
+    # Few values are broadcast; many are copied over salts, so that a frequent value is spread.
+    return bounded_join(base, ranked.select(*anchor, column, name), [*anchor, column], "left").drop("_one")
 
 
 def spearman(df: DataFrame, a: str, b: str, by: str | Sequence[str] | None = None) -> DataFrame:

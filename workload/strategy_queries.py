@@ -194,10 +194,29 @@ def average_rank(spark, sf):
     return rk.average_rank(days, "day", "o_orderstatus").select("o_orderkey", "rank")
 
 
-@query("bootstrap_spearman", None)
+@query("bootstrap_spearman", """
+SELECT series, max(ra) FILTER (WHERE rep = 0) AS rho_a, max(rb) FILTER (WHERE rep = 0) AS rho_b, max(ra - rb) FILTER (WHERE rep = 0) AS rho_diff,
+  avg(CASE WHEN ra - rb <= 0 THEN 1.0 WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 0.0 END) FILTER (WHERE rep > 0) AS p_value,
+  avg(ra - rb) FILTER (WHERE rep > 0) AS boot_mean, count(*) FILTER (WHERE rep > 0) AS replicates
+FROM (
+  SELECT series, rep, (sum(m * x * z) - sum(m * x) * sum(m * z) / sum(m)) / sqrt((sum(m * x * x) - sum(m * x) * sum(m * x) / sum(m)) * (sum(m * z * z) - sum(m * z) * sum(m * z) / sum(m))) AS ra,
+    (sum(m * v * z) - sum(m * v) * sum(m * z) / sum(m)) / sqrt((sum(m * v * v) - sum(m * v) * sum(m * v) / sum(m)) * (sum(m * z * z) - sum(m * z) * sum(m * z) / sum(m))) AS rb
+  FROM ranked GROUP BY series, rep) AS r GROUP BY series""", doubles="rho_a rho_b rho_diff p_value boot_mean", with_=f"""WITH {STRATEGY},
+s AS (
+  SELECT series, index_score AS a, trend_strength AS b, target_reg AS y, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS pos,
+    count(*) OVER (PARTITION BY series) AS n FROM strat),
+draws AS (
+  SELECT series, rep, pos, count(*) AS m
+  FROM (SELECT series, rep, ('0x' || substr(md5('42|' || rep || '|' || pos), 1, 13))::BIGINT % n AS pos FROM s, (SELECT unnest(range(1, 1001)) AS rep) AS reps) AS q
+  GROUP BY 1, 2, 3 UNION ALL SELECT series, 0, pos, 1 FROM s),
+ranked AS (
+  SELECT series, rep, m::DOUBLE AS m,
+    (sum(m) OVER (PARTITION BY series, rep ORDER BY a) - (sum(m) OVER (PARTITION BY series, rep, a) - 1) / 2.0)::DOUBLE AS x,
+    (sum(m) OVER (PARTITION BY series, rep ORDER BY b) - (sum(m) OVER (PARTITION BY series, rep, b) - 1) / 2.0)::DOUBLE AS v,
+    (sum(m) OVER (PARTITION BY series, rep ORDER BY y) - (sum(m) OVER (PARTITION BY series, rep, y) - 1) / 2.0)::DOUBLE AS z
+  FROM draws JOIN s USING (series, pos))""")
 def bootstrap_spearman(spark, sf):
-    base = strategy_table(spark, sf).where("series = '1-URGENT'")
-    return inf.bootstrap_spearman(base, "index_score", "trend_strength", "target_reg", 1000)
+    return inf.bootstrap_spearman(strategy_table(spark, sf), "index_score", "trend_strength", "target_reg", 1000, by="series")
 
 
 # --- models ----------------------------------------------------------------------------------------
