@@ -12,7 +12,7 @@ from moodloom.operators import risk as rs
 from moodloom.plans import strategy as plan
 from moodloom.session import settle
 
-from .base import METRIC_COLUMNS, POSITIONS, PRICES, STRATEGY, metrics_sql, prices, query, strategy_table
+from .base import DAILY, METRIC_COLUMNS, POSITIONS, PRICES, STRATEGY, daily, metrics_sql, prices, query, strategy_table
 from .market_queries import features
 
 BY = {"by": "series"}
@@ -262,6 +262,81 @@ def static_index(spark, sf):
     return md.static_index(settle(features(spark, sf)), CORE + MOOD, "target_reg", "1999-12-31").select("date", "index_score")
 
 
+# Closed forms for two features, in which ridge and its leave-one-out errors need no linear algebra.
+TWO = ["sub_index2", "sub_index4"]
+
+STATIC_TWO = f"""
+rows0 AS (SELECT date, sub_index2 AS x1, sub_index4 AS x2, "log_return_t+1" AS y FROM daily WHERE "log_return_t+1" IS NOT NULL),
+m AS (
+  SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2
+  FROM rows0 WHERE date <= DATE '1996-12-31'),
+z AS (SELECT date, n, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y - my AS y, date <= DATE '1996-12-31' AS train FROM rows0, m),
+g AS (SELECT sum(z1 * z1) AS g11, sum(z1 * z2) AS g12, sum(z2 * z2) AS g22, sum(z1 * y) AS c1, sum(z2 * y) AS c2 FROM z WHERE train),
+f AS (
+  SELECT p, g.*, (g11 + p) * (g22 + p) - g12 * g12 AS det, ((g22 + p) * c1 - g12 * c2) / ((g11 + p) * (g22 + p) - g12 * g12) AS b1,
+    ((g11 + p) * c2 - g12 * c1) / ((g11 + p) * (g22 + p) - g12 * g12) AS b2
+  FROM g, (SELECT unnest([0.1, 1.0, 10.0]::DOUBLE[]) AS p) AS ps),
+e AS (
+  SELECT p, b1, b2, avg(pow((y - b1 * z1 - b2 * z2) / (1 - 1.0 / n - (z1 * z1 * (g22 + p) - 2 * z1 * z2 * g12 + z2 * z2 * (g11 + p)) / det), 2)) AS loss
+  FROM f, z WHERE train GROUP BY p, b1, b2),
+best AS (SELECT b1, b2 FROM e ORDER BY loss LIMIT 1),
+raw AS (SELECT date, train, (b1 * z1 + b2 * z2) / (abs(b1) + abs(b2)) AS r FROM z, best),
+ends AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM raw WHERE train)"""
+
+
+@query("static_index_two", "SELECT date, 100.0 * (least(greatest(r, lo), hi) - lo) / (hi - lo) AS index_score FROM raw, ends",
+       doubles="index_score", digits=4, with_=f"WITH {DAILY}, {STATIC_TWO}")
+def static_index_two(spark, sf):
+    table = daily(spark, sf).dropna(subset=["log_return_t+1"]).withColumnRenamed("log_return_t+1", "y")
+    return md.static_index(settle(table.select("date", "y", *TWO)), TWO, "y", "1996-12-31").select("date", "index_score")
+
+
+MONTHS = f"""
+mon AS (
+  SELECT CAST(date_trunc('month', date) AS DATE) AS date, avg(sub_index2) AS x1, avg(sub_index4) AS x2, sum("log_return_t+1") AS y
+  FROM daily WHERE "log_return_t+1" IS NOT NULL GROUP BY 1),
+num AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS t FROM mon),
+st AS (
+  SELECT a.t, a.date, a.x1 AS q1, a.x2 AS q2, count(*) AS n, avg(b.x1) AS m1, stddev_pop(b.x1) AS s1, avg(b.x2) AS m2, stddev_pop(b.x2) AS s2
+  FROM num AS a JOIN num AS b ON b.t < a.t - {{embargo}} WHERE a.t >= 36 GROUP BY 1, 2, 3, 4),
+zz AS (
+  SELECT st.t, n, least(greatest((b.x1 - m1) / s1, -3.0), 3.0) AS z1, least(greatest((b.x2 - m2) / s2, -3.0), 3.0) AS z2, b.y
+  FROM st JOIN num AS b ON b.t < st.t - {{embargo}}),
+ce AS (
+  SELECT t, n, z1 - avg(z1) OVER (PARTITION BY t) AS z1, z2 - avg(z2) OVER (PARTITION BY t) AS z2, y - avg(y) OVER (PARTITION BY t) AS y FROM zz),
+gr AS (SELECT t, any_value(n) AS n, sum(z1 * z1) AS g11, sum(z1 * z2) AS g12, sum(z2 * z2) AS g22, sum(z1 * y) AS c1, sum(z2 * y) AS c2 FROM ce GROUP BY t),
+fi AS (
+  SELECT p, gr.*, (g11 + p) * (g22 + p) - g12 * g12 AS det, ((g22 + p) * c1 - g12 * c2) / ((g11 + p) * (g22 + p) - g12 * g12) AS b1,
+    ((g11 + p) * c2 - g12 * c1) / ((g11 + p) * (g22 + p) - g12 * g12) AS b2
+  FROM gr, (SELECT unnest({[float(p) for p in md.PENALTIES]}::DOUBLE[]) AS p) AS ps),
+lo AS (
+  SELECT fi.t, p, b1, b2, avg(pow((y - b1 * z1 - b2 * z2) / (1 - 1.0 / fi.n - (z1 * z1 * (g22 + p) - 2 * z1 * z2 * g12 + z2 * z2 * (g11 + p)) / det), 2)) AS loss
+  FROM fi JOIN ce ON ce.t = fi.t GROUP BY 1, 2, 3, 4),
+be AS (SELECT t, arg_min(b1, loss) AS b1, -arg_min(b2, loss) AS b2 FROM lo GROUP BY t),
+ra AS (
+  SELECT date, (b1 * least(greatest((q1 - m1) / s1, -3.0), 3.0) + b2 * least(greatest((q2 - m2) / s2, -3.0), 3.0)) / (abs(b1) + abs(b2) + 1e-12) AS r
+  FROM st JOIN be USING (t)),
+en AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM ra)"""
+
+
+def months(spark, sf):
+    table = daily(spark, sf).dropna(subset=["log_return_t+1"])
+    return table.groupBy(F.trunc("date", "month").alias("date")).agg(
+        F.avg("sub_index2").alias("sub_index2"), F.avg("sub_index4").alias("sub_index4"), F.sum("log_return_t+1").alias("y"))
+
+
+@query("walk_forward_index_two", "SELECT date, 100.0 * (least(greatest(r, lo), hi) - lo) / (hi - lo + 1e-12) AS index_score FROM ra, en",
+       doubles="index_score", digits=4, with_=f"WITH {DAILY}, {MONTHS.format(embargo=0)}")
+def walk_forward_index_two(spark, sf):
+    return md.walk_forward_index(settle(months(spark, sf)), TWO, [1, -1], "y", 36).select("date", "index_score")
+
+
+@query("walk_forward_index_embargo", "SELECT date, 100.0 * (least(greatest(r, lo), hi) - lo) / (hi - lo + 1e-12) AS index_score FROM ra, en",
+       doubles="index_score", digits=4, with_=f"WITH {DAILY}, {MONTHS.format(embargo=3)}")
+def walk_forward_index_embargo(spark, sf):
+    return md.walk_forward_index(settle(months(spark, sf)), TWO, [1, -1], "y", 36, embargo=3).select("date", "index_score")
+
+
 @query("gbt_compare", None)
 def gbt_compare(spark, sf):
     table = settle(model_table(spark, sf))
