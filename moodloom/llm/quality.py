@@ -65,10 +65,17 @@ def figures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id", "lang", "sour
     """`row`, a struct of the carried columns, and the five figures of each whole text."""
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in carried]).alias("row"), "text")
+    # A carried text is read from its row: it goes to Python once.
+    inner = "text" in carried
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in carried]).alias("row"), *([] if inner else ["text"]))
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, row.flatten()[carried.index("text")]], ["row", "text"]) if inner else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in c.pieces_of(batches):
+        for batch, body, at in c.pieces_of(with_text(batches)):
             starts, ends, before = c.spans_of_words(body, at)
             windows = c.window_hash(c.slice_hash(c.prefix_hash(body), starts, ends), 3)
             sums = [np.concatenate([[0], np.cumsum(x)]) for x in (~c.SPACE[body] & ((body & 0xC0) != 0x80), symbol[body])]
