@@ -7,8 +7,8 @@ a length filter, a positional filter and a suffix filter (histograms over the or
 verified once per pair on whole sets.
 
 Groups of near copies would make many pairs that say nothing new. So a first round links neighbours within some lists
-only; a second round takes all remaining pairs, but only those in different components. No link between different
-components is lost. Lists too long for one task are split into blocks that meet pairwise.
+only; two more try a few pairs for any two components of a list; then come all other pairs in different components, again
+one for any two components before the rest that is still apart. No link between different components is lost. Lists too long for one task are split into blocks that meet pairwise.
 
 Null, empty and blank texts have the empty set, link with nothing and are components of their own. Equal ids are one
 document to the result's smallest id, but every row is judged by its own text. An empty table gives no rows. Any further
@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +35,10 @@ WORDS, PERCENT = 5, 80
 COUNTERS, BLOCKS = 1 << 20, 64
 #: Rows of a list that one task compares at once.
 LIST = 20_000
-BUCKETS = 64
 #: One in so many lists takes part in the first round.
-SOME = 16
+SOME = 4
+#: Pairs that a draw takes for two components of a list.
+DRAWN = 16
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -44,21 +46,36 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def histogram(hashes: np.ndarray) -> bytes:
-    """How many hashes of the set fall into each of BUCKETS ranges."""
-    return np.bincount((hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+    """How many hashes of the set fall into each of 2^k ranges, of which there are half as many as hashes, or more.
+    Counts stop at 255, which only weakens the bound."""
+    k = max(3, int(len(hashes) // 2).bit_length())
+    return np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).clip(max=255).astype(np.uint8).tobytes()
+
+
+def difference(x: bytes, y: bytes) -> int:
+    """Least number of hashes that two sets with these histograms do not share. Neighbouring ranges of the finer one are
+    added up until both have the same ranges."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if 255 in (a.max(), b.max()):
+        return 0
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(axis=1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(axis=1)
+    return int(np.abs(a - b).sum())
 
 
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: row key, doc_id, key of its shingle set (null if empty), size of the set and its histogram."""
+    """Per row: row key, doc_id, key of its shingle set (null if empty), size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in c.pieces_of(batches):
             sets = c.shingles_of(body, at, words, fold_case=True)
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), keys, pa.array([len(s) for s in sets], pa.int64()),
-                                              c.binary(histogram(s) for s in sets)], ["row", "doc_id", "key", "n", "spread"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), keys, pa.array([len(s) for s in sets], pa.int64())],
+                                             ["row", "doc_id", "key", "n"])
 
-    return c.as_documents(docs).select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, "row binary, doc_id long, key binary, n long, spread binary")
+    return c.as_documents(docs).select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, "row binary, doc_id long, key binary, n long")
 
 
 def levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -112,7 +129,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.nd
 
 
 def lists(docs: DataFrame, ids: str, level: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Prefix shingles with the sets that have them: (shingle, id, meta = size << 32 | position), sorted, lists of two or more."""
+    """Prefix shingles with the sets that have them: (shingle, id, meta = size << 32 | position), of sets that have one of like size in the list."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
     half = slice(0, 8) if ids == "first" else slice(8, 16)
 
@@ -134,7 +151,8 @@ def lists(docs: DataFrame, ids: str, level: np.ndarray, words: int = WORDS, perc
                                                   pa.array(np.concatenate(meta))], ["shingle", "id", "meta"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted. The last row waits until it is known whether the next one has its shingle."""
+        """Length filter: a row stays if its list has a set of like size, and if so one beside it, as lists arrive sorted by
+        size. The last row waits until the next one is known."""
         held, follows = np.zeros((3, 0), np.int64), False
         for batch in _with_end(batches):
             new = np.stack([x.to_numpy() for x in batch.columns]) if batch is not None else held[:, :0]
@@ -142,9 +160,10 @@ def lists(docs: DataFrame, ids: str, level: np.ndarray, words: int = WORDS, perc
             if not rows.shape[1]:
                 continue
             keep = np.ones(rows.shape[1], bool)
-            keep[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            keep[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
             rows = rows[:, keep]
-            same = rows[0, 1:] == rows[0, :-1]
+            size = rows[2] >> 32
+            same = (rows[0, 1:] == rows[0, :-1]) & (100 * size[:-1] >= percent * size[1:])
             before = np.concatenate([[follows], same])
             several = before | np.append(same, False)
             if batch is not None:
@@ -154,7 +173,7 @@ def lists(docs: DataFrame, ids: str, level: np.ndarray, words: int = WORDS, perc
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, several]], ["shingle", "id", "meta"])
 
     rows = docs.select("text").mapInArrow(emit, "shingle long, id long, meta long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(repeated, "shingle long, id long, meta long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "meta", "id").mapInArrow(repeated, "shingle long, id long, meta long")
 
 
 def _with_end(batches):
@@ -172,8 +191,9 @@ def neighbours(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Second round: all pairs of a list in different components that pass the length and positional filters."""
+def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT, draw: int = 0) -> DataFrame:
+    """Pairs of a list in different components that pass the length and positional filters: all of them, or with a `draw`
+    DRAWN pairs for any two components in the list, drawn by hash."""
     known = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = known.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sizes.where("low <> high").select("shingle", F.expr(f"cast((size + {LIST} - 1) div {LIST} as int)").alias("k"))
@@ -209,7 +229,17 @@ def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataF
             ok = (100 * b >= percent * a) & (1 + np.minimum(a - pa_ - 1, b - pb - 1) >= least_overlap(a, b, percent)) & (
                 pb <= b - least_overlap(b, b, percent))
             if ok.any():
-                both = np.unique(np.stack([name[x[ok]], name[y[ok]]]), axis=1)
+                x, y = x[ok], y[ok]
+                if draw:
+                    lot = c.mixed((name[x] ^ (name[y] << 1)).view(np.uint64) + np.uint64(draw)).view(np.int64)
+                    ends = np.stack([lot, np.maximum(component[x], component[y]), np.minimum(component[x], component[y]), shingle[x]])
+                    order = np.lexsort(ends)
+                    new = np.ones(len(order), bool)
+                    new[1:] = (ends[1:, order[1:]] != ends[1:, order[:-1]]).any(axis=0)
+                    heads = np.flatnonzero(new)
+                    few = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order)))) < DRAWN
+                    x, y = x[order[few]], y[order[few]]
+                both = np.unique(np.stack([name[x], name[y]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,16 +263,16 @@ def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataF
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def fitting(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def fitting(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Suffix filter: the difference of two histograms bounds what the sets can share."""
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("spread").alias(f"s{side}")), side)
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("spread").alias(f"s{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            sa, sb = (c.raw(batch.column(s))[0].view("<u4").reshape(-1, BUCKETS).astype(np.int64) for s in ("sa", "sb"))
-            most = (na + nb - np.abs(sa - sb).sum(axis=1)) // 2
+            apart = [difference(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            most = (na + nb - np.array(apart, np.int64)) // 2
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
                 pa.array(most >= least_overlap(na, nb, percent)))
 
@@ -263,6 +293,36 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, ids: str, words: int = WORDS) -> DataFrame:
+    """Per wanted id one text, the size of its set and its histogram, as a table bucketed by id: joins with it move pairs,
+    never texts."""
+    half = slice(0, 8) if ids == "first" else slice(8, 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, body, at in c.pieces_of(batches):
+            sets = c.shingles_of(body, at, words, True)
+            keys = [int.from_bytes(set_key(s)[half], "little", signed=True) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), batch.column("text"), pa.array([len(s) for s in sets], pa.int64()), c.binary(histogram(s) for s in sets)],
+                ["id", "text", "n", "spread"])
+
+    spark = docs.sparkSession
+    rows = docs.select("text").mapInArrow(run, "id long, text string, n long, spread binary").where("id is not null")
+    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    name = f"texts_{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").option("path", c.scratch(spark, "texts")).bucketBy(
+        max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").saveAsTable(name)
+    return spark.table(name)
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs in different components, with these as low and high."""
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    ends = [F.coalesce(f"c{s}", s) for s in "ab"]
+    return pairs.select("a", "b", F.least(*ends).alias("low"), F.greatest(*ends).alias("high")).where("low <> high")
+
+
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: row key, doc_id, n (size of its set), `class` and `component` (null for empty sets)."""
     docs = c.as_documents(docs)
@@ -272,17 +332,25 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     if rows.where("n > 0").groupBy(half.alias("half")).agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").limit(1).count():
         half, ids = F.substring("key", 9, 8), "second"
     rows = rows.withColumn("id", _number(half))
-    nodes = c.settle(rows.where("n > 0").groupBy("id").agg(
-        F.min("row").alias("row"), F.first("n").alias("n"), F.first("spread").alias("spread")), "nodes")
     shared = c.settle(lists(docs, ids, levels(docs, words), words, percent), "lists")
-    wanted = shared.select("id").distinct().join(nodes.select("id", "row"), "id")
-    texts = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("id", "text").dropDuplicates(["id"])
-    texts = c.settle(texts, "texts")
-    first = c.settle(fitting(neighbours(shared, percent), nodes, percent), "pairs")
-    links = c.settle(verified(first, texts, words, percent), "links")
-    rest = fitting(crossing(shared, components(links), percent).join(first, ["a", "b"], "left_anti"), nodes, percent)
-    links = links.unionByName(c.settle(verified(rest, texts, words, percent), "links"))
-    found = components(links)
+    texts = texts_of(docs, shared, ids, words)
+    links, found, seen = None, None, None
+    # Neighbours; twice one pair for any two components of a list; then every pair that is still apart.
+    for draw in (None, 1, 2, 0):
+        pairs = neighbours(shared, percent) if draw is None else crossing(shared, found, percent, draw)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = c.settle(pairs, "candidates")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        pairs = c.settle(fitting(pairs, texts, percent), "pairs")
+        if draw == 0:
+            # Where one pair links two components, the others between them need no look.
+            single = c.settle(apart(pairs, found).groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+            links = links.unionByName(c.settle(verified(single, texts, words, percent), "links"))
+            pairs = apart(pairs.join(single, ["a", "b"], "left_anti"), components(links)).select("a", "b")
+        new = c.settle(verified(pairs, texts, words, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("class"),
         F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("component"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from moodloom.llm import jaccard
+from moodloom.llm.graph import components
 
 
 def shingles(text):
@@ -68,3 +70,25 @@ def test_one_of_each(spark):
 
 def test_empty_table(spark):
     assert jaccard.near_groups(spark.createDataFrame([], "doc_id long, text string, component long")).count() == 0
+
+
+def test_histograms_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 40, 700, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[:size * 3 // 4], rng.integers(0, 1 << 63, size // 2, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.difference(jaccard.histogram(a), jaccard.histogram(b)) <= apart
+        assert size < 40 or jaccard.difference(jaccard.histogram(a), jaccard.histogram(b)) > apart // 3
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components(spark, few):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5), few).collect()}
+    least = {x: x for e in edges for x in e}
+    for _ in range(len(least)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == {x: m for x, m in least.items() if sum(m == y for y in least.values()) > 1}
