@@ -168,11 +168,16 @@ def proposals(text: str) -> list[dict]:
     return out
 
 
+# Every proposal holds one of these or four digits: an address has an @ or a spelled-out one as in _LOOSE, eight
+# hexadecimal groups have colons, the other kinds have digits.
+_MARKS = (b"@", b":", b" at ", b"(at)", b"[at]", b"(at]", b"[at)")
+
+
 def promising(body: np.ndarray, at: np.ndarray) -> list[bool]:
-    """Texts with an @, a spelled-out one, or seven hexadecimal digits of which one is decimal; others have no span."""
+    """Texts with four digits or one of _MARKS; `proposals` finds nothing in others."""
     digit = np.concatenate([[0], np.cumsum((body >= 48) & (body <= 57))])
     data = body.tobytes()
-    return [bool(n >= 4) or any(w in data[a:b] for w in (b"@", b" dot ", b"dot)", b"dot]", b"(at)", b"[at]", b"::", b":")) for a, b, n in zip(
+    return [bool(n >= 4) or any(w in data[a:b] for w in _MARKS) for a, b, n in zip(
         at[:-1].tolist(), at[1:].tolist(), (digit[at[1:]] - digit[at[:-1]]).tolist(), strict=True)]
 
 

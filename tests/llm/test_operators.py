@@ -236,6 +236,32 @@ def test_reports_and_masks(spark):
     assert pii.report(frame(spark, [])).count() == 0
 
 
+def promised(text):
+    body = text.encode()
+    return pii.promising(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]
+
+
+def test_refused_texts_have_no_proposals():
+    rng = random.Random(10)
+    parts = ["a", "é", "jo", " ", "\u00a0", ".", "-", " at ", "at", "(", ")", "[", "]", "@", " dot ", "dot", "x.org", "1", "23", "+", ":", "ab", "AT"]
+    refused = found = 0
+    for _ in range(40_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        some = bool(pii.proposals(text))
+        assert promised(text) or not some, text
+        refused, found = refused + (not promised(text)), found + some
+    assert refused > 1000 and found > 300
+    for sign in (" at ", "(at)", "[at]", "(at]", "[at)", " [at) "):
+        text = f"contact jane{sign}example.com"
+        assert promised(text) and len(pii.proposals(text)) == 1
+
+
+def test_proposals_do_not_depend_on_a_colon_elsewhere(spark):
+    texts = ["contact jane at example.com", "contact jane at example.com note: none"]
+    got = {r.doc_id: [(f.kind, f.start, f.end) for f in r.found] for r in pii.proposed(frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == got[1] == [(0, 8, 27)]
+
+
 def test_reliabilities_find_the_good_labelers():
     rng, counts, truth = random.Random(9), {}, {}
     for _ in range(4000):
