@@ -179,7 +179,7 @@ def sweep_pipeline(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         F.col("l_shipdate").alias("comment_at"), (q / (q + 30.0)).alias("p_pos"), (20.0 / (q + 30.0)).alias("p_neg"),
         (tax * 11.0).alias("toxicity_score"))
-    return plan.sweep_pipeline(daily(spark, sf).drop("log_return"), rows, [1.0, 3.0], [5], tz=None)
+    return plan.sweep_pipeline(daily(spark, sf).drop("log_return"), rows, tz=None)
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------
