@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions.columns import clip, grid, names
+from ..session import checkpoint_folder
 from .joining import bounded_join, expanding_blocks
 from .series import ordered, over_frames, running
 
@@ -248,6 +252,16 @@ def _assemble(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(feats), outputCol="_features", handleInvalid="skip").transform(df)
 
 
+def _side_by_side(spark, fits: Sequence[Callable[[], object]]) -> list:
+    """Results of independent fits, each run from a driver thread of its own.
+
+    Hundreds of rounds need checkpoints, or the lineage of the residuals grows too deep to send.
+    """
+    checkpoint_folder(spark)
+    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
+
+
 def gbt_compare(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], targets: Mapping[str, str], cutoff: str,
                 weight: str | None = None, next_return: str = "target_reg", order: str = "date", rounds: int = 300,
                 step: float = 0.02, depth: int = 5) -> DataFrame:
@@ -256,7 +270,7 @@ def gbt_compare(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], target
     from pyspark.ml.regression import GBTRegressor
 
     is_train = F.col(order) <= F.lit(cutoff).cast(dict(df.dtypes)[order])
-    results = None
+    cases, fits = [], []
     for kind, target in targets.items():
         for label, feats in feature_sets.items():
             maker = GBTRegressor if kind == "reg" else GBTClassifier
@@ -265,11 +279,14 @@ def gbt_compare(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], target
             if weight:
                 model = model.setWeightCol(weight)
             table = _assemble(df, feats)
-            scored = model.fit(table.where(is_train)).transform(table.where(~is_train))
-            signal = (F.col("_pred") > (0 if kind == "reg" else 0.5)).cast("double")
-            traded = scored.select(F.lit(f"{kind}_{label}").alias("model"), order,
-                                   (signal * F.col(next_return)).alias("strat_ret"))
-            results = traded if results is None else results.unionByName(traded)
+            cases.append((kind, label, table.where(~is_train)))
+            fits.append(partial(model.fit, table.where(is_train)))
+    results = None
+    for (kind, label, test), model in zip(cases, _side_by_side(df.sparkSession, fits), strict=True):
+        signal = (F.col("_pred") > (0 if kind == "reg" else 0.5)).cast("double")
+        traded = model.transform(test).select(F.lit(f"{kind}_{label}").alias("model"), order,
+                                              (signal * F.col(next_return)).alias("strat_ret"))
+        results = traded if results is None else results.unionByName(traded)
     return results
 
 
@@ -297,16 +314,16 @@ def ts_cv(df: DataFrame, feats: Sequence[str], target: str = "target_5d", k: int
     from pyspark.ml.regression import GBTRegressor
 
     folds = _assemble(fold_ids(df, k, order), feats).cache()
-    predictions, model = None, None
-    for fold in range(1, k + 1):
-        learner = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred_5d", maxIter=rounds,
-                               stepSize=step, maxDepth=depth, seed=42, subsamplingRate=0.7)
-        model = learner.fit(folds.where(F.col("fold") < fold))
+    learner = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred_5d", maxIter=rounds,
+                           stepSize=step, maxDepth=depth, seed=42, subsamplingRate=0.7)
+    models = _side_by_side(df.sparkSession, [partial(learner.fit, folds.where(F.col("fold") < fold)) for fold in range(1, k + 1)])
+    predictions = None
+    for fold, model in enumerate(models, 1):
         scored = model.transform(folds.where(F.col("fold") == fold)).select(order, "fold", target, "pred_5d")
         predictions = scored if predictions is None else predictions.unionByName(scored)
     gap = F.col("pred_5d") - F.col(target)
     errors = predictions.groupBy("fold").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count(F.lit(1)).alias("n"))
-    return errors, predictions, model
+    return errors, predictions, models[-1]
 
 
 def feature_importance(spark, model, feats: Sequence[str], families: Mapping[str, str] = fv.FEATURE_FAMILIES,

@@ -341,19 +341,19 @@ def walk_forward_index_embargo(spark, sf):
 def gbt_compare(spark, sf):
     table = settle(model_table(spark, sf))
     traded = md.gbt_compare(table, {"sub": CORE, "sub_sent": CORE + MOOD}, {"reg": "target_reg", "cls": "target_cls"},
-                            "1999-12-31", "sample_weight", rounds=5)
+                            "1999-12-31", "sample_weight")
     return md.gbt_summary(traded)
 
 
 @query("ts_cv", None)
 def ts_cv(spark, sf):
-    errors, _, _ = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD, rounds=5)
+    errors, _, _ = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD)
     return errors
 
 
 @query("feature_importance", None)
 def feature_importance(spark, sf):
-    _, _, model = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD, k=2, rounds=5)
+    _, _, model = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD)
     return md.feature_importance(spark, model, CORE + MOOD)
 
 
