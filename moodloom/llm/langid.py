@@ -106,12 +106,19 @@ def clustered(sample: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> n
     return centres.astype(np.float32)
 
 
-def first_centroids(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Rows (lang, cluster, values) from the sample of each language; a group holds SAMPLE documents at most."""
+def sampled(rows: DataFrame) -> DataFrame:
+    """SAMPLE rows per language at most. An id may have many rows, so the rows of the picked ids are numbered again."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     # SAMPLE ids per language at most: a bounded broadcast.
     picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    again = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", F.xxhash64("text"), "text")
+    return picked.withColumn("n", F.row_number().over(again)).where(F.col("n") <= SAMPLE).drop("n")
+
+
+def first_centroids(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Rows (lang, cluster, values) from the sample of each language; a group holds SAMPLE documents at most."""
+    picked = sampled(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in c.pieces_of(batches, rows=512):

@@ -288,6 +288,12 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_sample_is_bounded_with_repeated_ids(spark):
+    rows = [(1, f"the house {i}", "en") for i in range(langid.SAMPLE + 200)] + [(i, "das haus", "de") for i in range(50)]
+    got = langid.sampled(frame(spark, rows, "doc_id long, text string, lang string")).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"en": langid.SAMPLE, "de": 50}
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "the house and the garden " * 5, "en") for i in range(1, 30)] + [(i, "der garten und das haus " * 5, "de") for i in range(30, 60)]
     rows += [(61, None, "en"), (62, "", None), (63, "123 !? 456", "de"), (64, "the garden", None), (None, "das haus", "de"), (1, "the house", "en"), (66, LONG, "en")]
