@@ -166,4 +166,40 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc
 FROM d LEFT JOIN n USING (r) LEFT JOIN (SELECT a AS r, min(doc_id) AS least FROM reach JOIN d ON d.r = reach.b GROUP BY a) m USING (r)
 """
 
-ORACLES = {"op2_mixing": MIXING, "op3_quality": QUALITY, "op5_preference": PREFERENCE, "op6_jaccard": JACCARD, "op7_warc": WARC}
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out one after the other; the vectors' components are rows (r, i, x)."""
+    nearest = """a{n} AS MATERIALIZED (
+  SELECT r, min(d * 1000 + k) AS m FROM (
+    SELECT x.r, c.k, sum((x.x - c.x) * (x.x - c.x))::HUGEINT AS d FROM x JOIN c{n} c USING (i) GROUP BY x.r, c.k) GROUP BY r)"""
+    moved = """c{next} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x)::BIGINT AS x
+  FROM c{n} c LEFT JOIN (
+    SELECT m % 1000 AS k, i, sum(x.x)::HUGEINT AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY ALL) t ON t.k = c.k AND t.i = c.i)"""
+    steps = []
+    for n in range(rounds):
+        steps += [nearest.format(n=n), moved.format(n=n, next=n + 1)]
+    steps.append(nearest.format(n=rounds))
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+all_x AS (
+  SELECT r, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM e WHERE len(embedding) = 64),
+x AS MATERIALIZED (
+  SELECT r, i, floor(256 * e)::BIGINT AS x FROM all_x
+  WHERE r NOT IN (SELECT r FROM all_x WHERE e IS NULL OR isnan(e) OR isinf(e))),
+v AS (SELECT e.r, vec_id, l FROM e JOIN (SELECT r, list(x ORDER BY i) AS l FROM x GROUP BY r) g ON g.r = e.r),
+c0 AS MATERIALIZED (
+  SELECT k, x.i, x.x FROM x JOIN (
+    SELECT r, row_number() OVER (ORDER BY sha256(concat('2:', coalesce(vec_id::VARCHAR, ''))), l) - 1 AS k FROM v) o USING (r)
+  WHERE k < {k}),
+{(","+chr(10)).join(steps)},
+f AS MATERIALIZED (SELECT r, (m % 1000)::INTEGER AS cluster, (m // 1000)::BIGINT AS distance FROM a{rounds}),
+h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, h AS centroid_sha256, count(*) OVER (PARTITION BY cluster)::BIGINT AS cluster_size
+FROM f JOIN v USING (r) JOIN h ON h.k = f.cluster
+"""
+
+
+ORACLES = {"op2_mixing": MIXING, "op3_quality": QUALITY, "op5_preference": PREFERENCE, "op6_jaccard": JACCARD, "op7_warc": WARC,
+           "op11_clusters": _clusters()}
