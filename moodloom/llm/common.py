@@ -85,10 +85,11 @@ def pieces_of(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int
             i = j
 
 
-def spans_of_words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each text the number of words before it (one entry more than texts)."""
+def spans_of_words(body: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text the number of words before it (one entry more than texts).
+    `space` tells the bytes between words."""
     inside = np.zeros(len(body) + 2, bool)
-    inside[1:-1] = ~SPACE[body]
+    inside[1:-1] = ~space[body]
     first, last = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     if len(body):
         cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(body))]

@@ -167,6 +167,37 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN (SELECT a AS r, min(doc_id) AS least FROM
 """
 
 
+PHRASES = """
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, s, array_to_string(ws[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(ws) >= s)),
+f AS MATERIALIZED (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE s > 1),
+cuts AS (SELECT *, unnest(range(1, s)) AS k FROM c),
+scored AS (
+  SELECT c.lang, c.s, c.phrase, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') AND x.s = k
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.s], ' ') AND y.s = c.s - k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, ws, a, m, unnest(range(1, s - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE s > m)),
+longer AS (SELECT lang, m, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.m = best.s AND longer.phrase = best.phrase
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a,
+       l::BIGINT AS l, r::BIGINT AS r, n, score, k::INTEGER AS cut
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _clusters(k: int = 40, rounds: int = 5) -> str:
     """Rounds written out one after the other; the vectors' components are rows (r, i, x)."""
     nearest = """a{n} AS MATERIALIZED (
@@ -202,4 +233,4 @@ FROM f JOIN v USING (r) JOIN h ON h.k = f.cluster
 
 
 ORACLES = {"op2_mixing": MIXING, "op3_quality": QUALITY, "op5_preference": PREFERENCE, "op6_jaccard": JACCARD, "op7_warc": WARC,
-           "op11_clusters": _clusters()}
+           "op11_clusters": _clusters(), "op12_phrases": PHRASES}

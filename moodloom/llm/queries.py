@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, jaccard, langid, mixing, oracles, packing, pii, quality, suffix, warc, zones
+from . import chat, fingerprint, jaccard, langid, mixing, oracles, packing, phrases, pii, quality, suffix, warc, zones
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
