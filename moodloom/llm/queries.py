@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, jaccard, langid, mixing, oracles, packing, phrases, pii, quality, suffix, warc, zones
+from . import chat, fingerprint, jaccard, langid, mixing, nbsvm, oracles, packing, phrases, pii, quality, suffix, warc, zones
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
