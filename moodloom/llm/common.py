@@ -6,6 +6,7 @@ arrays of a task stay bounded whatever a batch holds; a single longer text forms
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -108,37 +109,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, RUN_BYTES + 1)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        if size > 4 * RUN_BYTES:
-            return both[0], both[1]
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
-
-
-def prefix_hash(body: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes, modulo 2^64, from 0."""
-    out = np.zeros(len(body) + 1, U)
-    np.cumsum(_BYTE[body] * _powers(len(body) + 1)[0][:len(body)], out=out[1:])
+#: Byte ranges up to this length are hashed side by side, longer ones one by one.
+LONG = 64
+
+
+def eights(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 0) -> np.ndarray:
+    """Bytes 8 chunk .. 8 chunk + 7 of each byte range as a little-endian number; what is beyond a range's end is zero."""
+    padded = np.zeros(len(body) + 8, np.uint8)
+    padded[:len(body)] = body
+    windows = np.lib.stride_tricks.as_strided(padded, (len(body) + 1, 8), (1, 1))
+    at = np.minimum(starts + 8 * chunk, len(body))
+    left = np.clip(ends - at, 0, 8)
+    out = np.ascontiguousarray(windows[at]).view("<u8").ravel()
+    return out & np.where(left > 0, U(0xFFFFFFFFFFFFFFFF) >> ((U(8) - left.astype(U)) << U(3)) % U(64), U(0))
+
+
+def range_hash(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """64-bit hash of each byte range; equal ranges hash alike wherever they stand. Short ranges pass eight bytes at a time
+    through two scrambled lanes, long ones through BLAKE2b: neither adds up over the bytes, so no regular pattern cancels out.
+    `known` are their first `eights`, where a caller has them."""
+    sizes = ends - starts
+    one, two = mixed(sizes.astype(U) + U(0x9E3779B97F4A7C15)), sizes.astype(U) * U(0xA0761D6478BD642F)
+    for chunk in range(-(-int(min(sizes.max(initial=0), LONG)) // 8)):
+        at = np.flatnonzero((sizes > 8 * chunk) & (sizes <= LONG)) if chunk else np.arange(len(starts))
+        part = known[chunk][at] if chunk < len(known) else eights(body, starts[at], ends[at], chunk)
+        one[at] = mixed(one[at] ^ part)
+        two[at] = mixed((two[at] + part) * U(0xE7037ED1A0B428DB)) + one[at]
+    out = mixed(one * U(0x8EBC6AF09C88C6E3) + (two ^ (two >> U(32))))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: equal ranges hash alike wherever they stand."""
-    back = _powers(len(prefix))[1]
-    return mixed((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+def words_array(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> pa.Array:
+    """The words that `spans_of_words` found as a binary column."""
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(body[~space[body]])])
+
+
+def word_hash(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word, and for each text the number of words before it (one entry more than texts)."""
+    starts, ends, before = spans_of_words(body, at)
+    return range_hash(body, starts, ends), before
+
+
+_BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def gram_hash(body: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` bytes, a power of two: halves are scrambled together, so that order is kept."""
+    if len(body) < size:
+        return np.zeros(0, U)
+    out, step = _BYTE[body], 1
+    while step < size:
+        out = out[:-step] * U(0xA0761D6478BD642F) + out[step:]
+        out ^= out >> U(29)
+        step *= 2
+    return mixed(out)
 
 
 def lowered(body: np.ndarray) -> np.ndarray:
@@ -161,8 +188,7 @@ def window_hash(words: np.ndarray, size: int) -> np.ndarray:
 def shingles_of(body: np.ndarray, at: np.ndarray, size: int, fold_case: bool) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: `size` words, or the whole sequence of a shorter text."""
     text = lowered(body) if fold_case else body
-    starts, ends, before = spans_of_words(text, at)
-    words = slice_hash(prefix_hash(text), starts, ends)
+    words, before = word_hash(text, at)
     full = window_hash(words, size)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):

@@ -69,7 +69,7 @@ def sketches(texts: list[bytes], words: int = WORDS, one_in: int = ONE_IN) -> li
     out: list[Sketch] = []
     at, body = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), b"".join(texts)
     found = c.shingles_of(np.frombuffer(body, np.uint8), at, words, fold_case=False)
-    most = np.uint64((1 << 64) // one_in)
+    most = np.uint64(min((1 << 64) // one_in, (1 << 64) - 1))
     for text, own in zip(texts, found, strict=True):
         kept = own[:np.searchsorted(own, most, "left")] >> np.uint64(24)
         out.append(Sketch(np.unique(kept), len(own), hashlib.sha256(text).hexdigest()))

@@ -62,8 +62,8 @@ def indicators(body: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.n
     starts, ends, before = c.spans_of_words(body, at)
     size = len(at) - 1
     if len(starts):
-        words = c.slice_hash(c.prefix_hash(c.lowered(body)), starts, ends)
-        exact = c.slice_hash(c.prefix_hash(body), starts, ends)
+        words = c.word_hash(c.lowered(body), at)[0]
+        exact = c.word_hash(body, at)[0]
         upper, lower = (np.concatenate([[0], np.cumsum(x)]) for x in ((body >= 65) & (body <= 90), (body >= 97) & (body <= 122)))
         ups, lows, long_ = upper[ends] - upper[starts], lower[ends] - lower[starts], ends - starts
         case = np.where(lows == 0, np.where(ups > 0, 3, 0), np.where(ups == 0, 1, 2))

@@ -46,13 +46,7 @@ APART[[0x20, 0x09]] = True
 def words_of(body: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words of some texts, A-Z lowered, and whether each begins a piece."""
     starts, ends, before = c.spans_of_words(body, at, APART)
-    folded = FOLD[body]
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    inside = np.zeros(len(body) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.subtract.at(inside, ends, 1)
-    kept = folded[np.cumsum(inside[:-1]) > 0] if len(body) else folded
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept.tobytes())])
+    words = c.words_array(FOLD[body], starts, ends, APART)
     breaks = np.concatenate([[0], np.cumsum(BREAK[body])])
     first = np.ones(len(starts), bool)
     first[1:] = breaks[starts[1:]] != breaks[ends[:-1]]

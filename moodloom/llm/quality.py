@@ -76,8 +76,8 @@ def figures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id", "lang", "sour
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in c.pieces_of(with_text(batches)):
-            starts, ends, before = c.spans_of_words(body, at)
-            windows = c.window_hash(c.slice_hash(c.prefix_hash(body), starts, ends), 3)
+            words, before = c.word_hash(body, at)
+            windows = c.window_hash(words, 3)
             sums = [np.concatenate([[0], np.cumsum(x)]) for x in (~c.SPACE[body] & ((body & 0xC0) != 0x80), symbol[body])]
             data = body.tobytes()
             lines = [repeated_lines(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -17,6 +17,7 @@ gives no rows. Any further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,14 @@ def row_key():
                                                   F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).cast("binary"), 256)), 1, 16)
 
 
-def anchors(body: np.ndarray, at: np.ndarray, prefix: np.ndarray, length: int, gram: int):
-    """Start of each piece, its number of windows, and its anchor's place."""
+def anchors(body: np.ndarray, at: np.ndarray, length: int, gram: int):
+    """Start of each piece, its number of windows, its anchor's place, and the anchor's hash."""
     m, w = len(body) - gram + 1, length - gram + 1
     if len(body) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    place = np.arange(m)
-    value = (c.slice_hash(prefix, place, place + gram) >> _PLACE << _PLACE) | place.astype(np.uint64)
+        return none, none, none, none
+    grams = c.gram_hash(body, gram)
+    value = (grams >> _PLACE << _PLACE) | np.arange(m, dtype=np.uint64)
     blocks = -(-m // w)
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
     padded[:m] = value
@@ -64,7 +65,12 @@ def anchors(body: np.ndarray, at: np.ndarray, prefix: np.ndarray, length: int, g
     new[1:] &= (chosen[1:] != chosen[:-1]) | ~inside[:-1]
     begin = np.flatnonzero(new)
     stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
-    return begin, stop - begin, chosen[begin]
+    return begin, stop - begin, chosen[begin], grams[chosen[begin]].view(np.int64)
+
+
+def _name(piece: bytes, place: int) -> int:
+    """64 bits of BLAKE2b over a piece and its anchor's place; with the anchor they are its identity."""
+    return int.from_bytes(hashlib.blake2b(place.to_bytes(8, "little") + piece, digest_size=8).digest(), "little", signed=True)
 
 
 def pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -73,16 +79,16 @@ def pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in c.pieces_of(batches):
-            prefix = c.prefix_hash(body)
-            begin, windows, anchor = anchors(body, at, prefix, length, gram)
+            begin, windows, anchor, own = anchors(body, at, length, gram)
             owner = np.searchsorted(at, begin, "right") - 1
             start = begin - at[owner]
-            own = c.slice_hash(prefix, anchor, anchor + gram)
-            content = c.slice_hash(prefix, begin, begin + windows + length - 1)
-            # What the content hash leaves open: where the anchor stands and how many windows there are.
-            content = c.mixed(content + ((anchor - begin).astype(np.uint64) << np.uint64(32)) + windows.astype(np.uint64))
+            # What the bytes leave open, where the anchor stands and how many windows there are, is in front of them.
+            ends = begin + windows + length - 1
+            data = body.tobytes()
+            content = np.fromiter((_name(data[a:b], x) for a, b, x in zip(begin.tolist(), ends.tolist(), (((anchor - begin) << 16) | windows).tolist(), strict=True)),
+                                  np.int64, len(begin))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.view(np.int64)), pa.array(content.view(np.int64)), batch.column("key").take(pa.array(owner)),
+                [pa.array(own), pa.array(content), batch.column("key").take(pa.array(owner)),
                  pa.array((start << 16) | windows)], ["anchor", "content", "key", "place"])
 
     return rows.mapInArrow(run, "anchor long, content long, key binary, place long")
@@ -228,20 +234,19 @@ def _indexed(fetched: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(fetched: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for one index: windows are counted by two 64-bit hashes."""
+    """The same for groups too large for one index: windows are counted by 128 bits of BLAKE2b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in c.pieces_of(batches, "piece", c.RUN_BYTES // 4):
-            prefix = c.prefix_hash(body)
-            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c.mixed(body.astype(np.uint64) + np.uint64(77)) * c._powers(len(body) + 1)[1][:len(body)])])
             counts = np.maximum(np.diff(at) - length + 1, 0)
             row = np.repeat(np.arange(len(counts)), counts)
             first = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             begin = at[:-1][row] + first
-            one = c.slice_hash(prefix, begin, begin + length)
-            two = c.mixed((other[begin + length] - other[begin]) * c._powers(len(body) + 1)[0][begin])
+            data = body.tobytes()
+            digests = b"".join(hashlib.blake2b(data[b:b + length], digest_size=16).digest() for b in begin.tolist())
+            one, two = np.frombuffer(digests, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                [pa.array(one), pa.array(two),
                  *(batch.column(n).take(pa.array(row)) for n in ("anchor", "content", "n")), pa.array(first)],
                 ["one", "two", "anchor", "content", "n", "first"])
 
