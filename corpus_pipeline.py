@@ -41,7 +41,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship_package(spark)
-    return packing.checksums(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.packed_sums(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
