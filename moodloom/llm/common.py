@@ -203,3 +203,46 @@ def shingles_of(body: np.ndarray, at: np.ndarray, size: int, fold_case: bool) ->
 
 def binary(values: Iterable[bytes]) -> pa.Array:
     return pa.array(list(values), pa.binary())
+
+
+# --- bit tables ----------------------------------------------------------------------------------------------------
+
+#: Bits of a table at most: 16 MB.
+TABLE_BITS = 27
+
+
+def _slots(names: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(names.view(U) + U(0x9E3779B97F4A7C15)) >> U(64 - bits)
+
+
+def listed(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the bit of each name (64-bit integers) is set: certainly if it was put in, seldom otherwise."""
+    slot = _slots(names, (8 * len(table)).bit_length() - 1)
+    return (table[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def bit_table(rows: DataFrame, name: str, n: int) -> np.ndarray:
+    """Bits set for the names in a column: eight for each of n, or 2^TABLE_BITS whatever the table. Each task sets the bits of its
+    blocks, and the blocks are all that reaches the driver."""
+    bits = min(TABLE_BITS, max(10, (8 * n).bit_length()))
+    block = min(bits, 19)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slots(batch.column(0).to_numpy(), bits)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> block).astype(np.int32)), pa.array((slot & ((1 << block) - 1)).astype(np.int32))], ["block", "bit"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, bit = batch.column("block").to_numpy(), batch.column("bit").to_numpy()
+            for b in np.unique(blocks).tolist():
+                held.setdefault(b, np.zeros(1 << block, bool))[bit[blocks == b]] = True
+        for b, flags in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), binary([np.packbits(flags, bitorder="little").tobytes()])], ["block", "bits"])
+
+    parts = rows.select(name).mapInArrow(slots, "block int, bit int").repartition("block").mapInArrow(fill, "block int, bits binary")
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        table[r["block"] << (block - 3):(r["block"] + 1) << (block - 3)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table

@@ -7,8 +7,8 @@ a length filter, a positional filter and a suffix filter (histograms over the or
 verified once per pair on whole sets.
 
 Groups of near copies would make many pairs that say nothing new. So a first round links neighbours within some lists
-only; two more try a few pairs for any two components of a list; then come all other pairs in different components, again
-one for any two components before the rest that is still apart. No link between different components is lost. Lists too long for one task are split into blocks that meet pairwise.
+only; the next ones compare every set with a few pivots of its list in other components; then come all other pairs in
+different components, again one for any two components before the rest that is still apart. No link between different components is lost. Lists too long for one task are split into blocks that meet pairwise.
 
 Null, empty and blank texts have the empty set, link with nothing and are components of their own. Equal ids are one
 document to the result's smallest id, but every row is judged by its own text. An empty table gives no rows. Any further
@@ -35,10 +35,14 @@ WORDS, PERCENT = 5, 80
 COUNTERS, BLOCKS = 1 << 20, 64
 #: Rows of a list that one task compares at once.
 LIST = 20_000
+#: Pairs that a task holds at once.
+PAIRS = 200_000
 #: One in so many lists takes part in the first round.
 SOME = 4
-#: Pairs that a draw takes for two components of a list.
-DRAWN = 16
+#: Rounds of pivots, and pivots of a list and size in each.
+ROUNDS, PIVOTS = 3, 4
+#: Ranges of the histograms that lists carry for their last round.
+RANGES = 64
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -65,6 +69,16 @@ def difference(x: bytes, y: bytes) -> int:
     return int(np.abs(a - b).sum())
 
 
+def coarse(spread: bytes, ranges: int = RANGES) -> bytes:
+    """A histogram over so many ranges only, each one the sum of finer ones (or split in whole where there are fewer)."""
+    a = np.frombuffer(spread, np.uint8).astype(np.int64)
+    if 255 in a:
+        return bytes(ranges)
+    while len(a) > ranges:
+        a = a.reshape(-1, 2).sum(axis=1)
+    return np.append(a, np.zeros(ranges - len(a), np.int64)).clip(max=255).astype(np.uint8).tobytes() if len(a) == ranges else bytes(ranges)
+
+
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: row key, doc_id, key of its shingle set (null if empty), size of the set."""
 
@@ -191,19 +205,51 @@ def neighbours(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT, draw: int = 0) -> DataFrame:
-    """Pairs of a list in different components that pass the length and positional filters: all of them, or with a `draw`
-    DRAWN pairs for any two components in the list, drawn by hash."""
-    known = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def pivots(rows: DataFrame, found: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs of each set with a few pivots of its list in other components: as many pairs as rows times PIVOTS at most. Pivots
+    have the smallest hashes among sets of like size, so lists of the same sets agree on them."""
+    step = F.floor(F.log(F.shiftright("meta", 32).cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    known = _known(rows, found).withColumn("step", step)
+    lots = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + k)).alias("lot"), "id", "component", "meta")) for k in range(PIVOTS)]
+    chosen = known.groupBy("shingle", "step").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(F.array(*[
+        lot.dropFields("lot") for lot in lots])).alias("pivots")).where("low <> high").select("shingle", "step", "pivots")
+    pairs = known.join(chosen, ["shingle", "step"]).select("id", "component", "meta", F.explode("pivots").alias("p"))
+    pairs = pairs.where("component <> p.component").withColumn("lead", F.expr(
+        "shiftright(meta, 32) > shiftright(p.meta, 32) or (shiftright(meta, 32) = shiftright(p.meta, 32) and id > p.id)"))
+    one, two = (F.struct(F.shiftright(m, 32).alias("n"), F.expr(f"{m} & 4294967295").alias("at"), F.col(i).alias("id")) for m, i in (("meta", "id"), ("p.meta", "p.id")))
+    pairs = pairs.select(F.when(F.col("lead"), one).otherwise(two).alias("a"), F.when(F.col("lead"), two).otherwise(one).alias("b"))
+    least = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+    return pairs.where(f"100 * b.n >= {percent} * a.n and least(a.n - a.at, b.n - b.at) >= {least} and b.at <= b.n - {least}").select("a.id", F.col("b.id").alias("b")).withColumnRenamed("id", "a").distinct()
+
+
+def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def still_mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of lists with several components. Components only grow together, so the other lists have nothing more to tell."""
+    known = _known(rows, found)
+    open_ = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    return rows.join(open_, "shingle", "left_semi")
+
+
+def crossing(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of a list in different components that pass the length and positional filters, and the suffix filter on
+    coarse histograms, which come with the rows and not with the pairs."""
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), c.binary(coarse(x) for x in batch.column("spread").to_pylist())], ["id", "spread"])
+
+    known = _known(rows, found).join(sets.select("id", "spread").mapInArrow(shorten, "id long, spread binary"), "id")
     sizes = known.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sizes.where("low <> high").select("shingle", F.expr(f"cast((size + {LIST} - 1) div {LIST} as int)").alias("k"))
     block = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     rows = known.join(mixed, "shingle").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("shingle", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "component", "id", "meta", "block")
+    rows = rows.select("shingle", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "component", "id", "meta", "block", "spread")
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """All pairs of different components within the groups (shingle, i, j) of these sorted rows."""
-        shingle, i, j, component, name, meta, own = columns
+        shingle, i, j, component, name, meta, own, spread = columns
         n = len(name)
         new = np.ones(n, bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -215,7 +261,7 @@ def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT, draw: in
         upto = np.cumsum(counts)
         begin = 0
         while begin < n:
-            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 1_000_000, "right")))
+            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
             own_counts = counts[begin:stop]
             x = np.repeat(np.arange(begin, stop), own_counts)
             y = np.arange(len(x)) - np.repeat(np.cumsum(own_counts) - own_counts, own_counts) + after[x]
@@ -228,17 +274,11 @@ def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT, draw: in
             a, b, pa_, pb = size[x], size[y], meta[x] & 0xFFFFFFFF, meta[y] & 0xFFFFFFFF
             ok = (100 * b >= percent * a) & (1 + np.minimum(a - pa_ - 1, b - pb - 1) >= least_overlap(a, b, percent)) & (
                 pb <= b - least_overlap(b, b, percent))
+            x, y, need = x[ok], y[ok], 2 * least_overlap(a, b, percent)[ok]
+            apart_ = np.abs(spread[x].astype(np.int16) - spread[y].astype(np.int16)).sum(axis=1)
+            ok = (a[ok] + b[ok] - apart_ >= need) | (spread[x] == 255).any(axis=1) | (spread[y] == 255).any(axis=1) | ~spread[x].any(axis=1) | ~spread[y].any(axis=1)
             if ok.any():
                 x, y = x[ok], y[ok]
-                if draw:
-                    lot = c.mixed((name[x] ^ (name[y] << 1)).view(np.uint64) + np.uint64(draw)).view(np.int64)
-                    ends = np.stack([lot, np.maximum(component[x], component[y]), np.minimum(component[x], component[y]), shingle[x]])
-                    order = np.lexsort(ends)
-                    new = np.ones(len(order), bool)
-                    new[1:] = (ends[1:, order[1:]] != ends[1:, order[:-1]]).any(axis=0)
-                    heads = np.flatnonzero(new)
-                    few = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order)))) < DRAWN
-                    x, y = x[order[few]], y[order[few]]
                 both = np.unique(np.stack([name[x], name[y]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -247,7 +287,7 @@ def crossing(rows: DataFrame, found: DataFrame, percent: int = PERCENT, draw: in
         held: list[np.ndarray] | None = None
         for batch in _with_end(batches):
             if batch is not None:
-                new = [x.to_numpy() for x in batch.columns]
+                new = [x.to_numpy() for x in batch.columns[:-1]] + [c.raw(batch.column("spread"))[0].reshape(-1, RANGES)]
                 held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
             if held is None or not len(held[0]):
                 continue
@@ -285,30 +325,43 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in c.pieces_of(batches, "text_a"):
-            sets = zip(c.shingles_of(body, at, words, True), c.shingles_of(*c.raw(batch.column("text_b")), words, True), strict=True)
-            shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets]
-            yield batch.select(["a", "b"]).filter(pa.array([100 * s >= percent * (n - s) for s, n in shared]))
+        for whole in batches:
+            # Both texts of a pair count: RUN_BYTES at most, or a single pair.
+            total = sum(np.cumsum(np.diff(c.raw(whole.column(f"text_{s}"))[1])) for s in "ab") if whole.num_rows else []
+            i = 0
+            while i < whole.num_rows:
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + c.RUN_BYTES, "right")))
+                batch = whole.slice(i, j - i)
+                sets = zip(*(c.shingles_of(*c.raw(batch.column(f"text_{s}")), words, True) for s in "ab"), strict=True)
+                shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets]
+                yield batch.select(["a", "b"]).filter(pa.array([100 * s >= percent * (n - s) for s, n in shared], pa.bool_()))
+                i = j
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, ids: str, words: int = WORDS) -> DataFrame:
     """Per wanted id one text, the size of its set and its histogram, as a table bucketed by id: joins with it move pairs,
-    never texts."""
+    never texts. A task hands on one copy of a set, and a bit table of bounded size leaves out most sets that nobody wants."""
     half = slice(0, 8) if ids == "first" else slice(8, 16)
+    spark = docs.sparkSession
+    names = c.settle(wanted.select("id").distinct(), "wanted")
+    shared = spark.sparkContext.broadcast(c.bit_table(names, "id", names.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, body, at in c.pieces_of(batches):
             sets = c.shingles_of(body, at, words, True)
-            keys = [int.from_bytes(set_key(s)[half], "little", signed=True) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column("text"), pa.array([len(s) for s in sets], pa.int64()), c.binary(histogram(s) for s in sets)],
-                ["id", "text", "n", "spread"])
-
-    spark = docs.sparkSession
-    rows = docs.select("text").mapInArrow(run, "id long, text string, n long, spread binary").where("id is not null")
-    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+            keys = np.array([int.from_bytes(set_key(s)[half], "little", signed=True) if len(s) else 0 for s in sets], np.int64)
+            hit = c.listed(shared.value, keys)
+            rows = [i for i, s in enumerate(sets) if len(s) and hit[i] and not (keys[i] in seen or seen.add(keys[i]))]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[rows]), batch.column("text").take(pa.array(rows)), pa.array([len(sets[i]) for i in rows], pa.int64()),
+                     c.binary(histogram(sets[i]) for i in rows)], ["id", "text", "n", "spread"])
+
+    rows = docs.select("text").mapInArrow(run, "id long, text string, n long, spread binary")
+    rows = rows.join(names, "id", "left_semi").dropDuplicates(["id"])
     name = f"texts_{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").option("path", c.scratch(spark, "texts")).bucketBy(
         max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").saveAsTable(name)
@@ -335,15 +388,18 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     shared = c.settle(lists(docs, ids, levels(docs, words), words, percent), "lists")
     texts = texts_of(docs, shared, ids, words)
     links, found, seen = None, None, None
-    # Neighbours; twice one pair for any two components of a list; then every pair that is still apart.
-    for draw in (None, 1, 2, 0):
-        pairs = neighbours(shared, percent) if draw is None else crossing(shared, found, percent, draw)
+    # Neighbours; a few rounds of pivots; then every pair that is still apart.
+    for turn in range(ROUNDS + 2):
+        last = turn == ROUNDS + 1
+        if turn:
+            shared = c.settle(still_mixed(shared, found), "mixed")
+        pairs = neighbours(shared, percent) if not turn else crossing(shared, found, texts, percent) if last else pivots(shared, found, turn, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = c.settle(pairs, "candidates")
         seen = pairs if seen is None else seen.unionByName(pairs)
         pairs = c.settle(fitting(pairs, texts, percent), "pairs")
-        if draw == 0:
+        if last:
             # Where one pair links two components, the others between them need no look.
             single = c.settle(apart(pairs, found).groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
             links = links.unionByName(c.settle(verified(single, texts, words, percent), "links"))
