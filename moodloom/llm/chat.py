@@ -8,7 +8,7 @@ assistant turns of a completion are to be learned (`trainable`); everything else
 Turns are ordered by number, then role, then text, null first; repeated rows are turns of their own. A null role or text
 is rendered as an empty one, but differs from it in the comparison. Where a completion has no turn (equal conversations,
 or one is the beginning of the other), `usable` is false. Pairs with one side only have an empty prefix. An empty table
-gives no rows. Any further columns are ignored.
+gives no rows. Turns without a pair id form one pair, with a null id. Any further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 TURN = ("turn", "role", "text")
 
 
+def _beside(rows: DataFrame, more: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on pair_id, a null id being an id like any other."""
+    more = more.withColumnRenamed("pair_id", "__pair")
+    return rows.join(more, F.col("pair_id").eqNullSafe(F.col("__pair")), how).drop("__pair")
+
+
 def rendered(role: str = "role", text: str = "text"):
     """One turn in the chat template; control marks inside a text lose their meaning."""
     body = F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
@@ -43,7 +49,7 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     ends = ends.select("pair_id", (F.col("first") - 1).alias("prefix_turns"),
                        ((F.col("n_chosen") >= F.col("first")) & (F.col("n_rejected") >= F.col("first"))).alias("usable"))
     shared = F.col("no") <= F.col("prefix_turns")
-    return sides.join(ends, "pair_id").where(~shared | (F.col("side") == "chosen")).select(
+    return _beside(sides, ends).where(~shared | (F.col("side") == "chosen")).select(
         "pair_id", F.when(shared, F.lit("prompt")).otherwise(F.col("side")).alias("part"), "no", "role", "rendered",
         "start_char", "n_chars", (~shared & (F.coalesce("role", F.lit("")) == "assistant")).alias("trainable"),
         "prefix_turns", "usable")
@@ -52,9 +58,9 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def stale_replies(turns: DataFrame) -> DataFrame:
     """A rejected version of each conversation: its last assistant turn repeats the reply before (or is empty)."""
     replies = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"))
-    marked = turns.join(replies, "pair_id", "left")
+    marked = _beside(turns, replies, "left")
     earlier = marked.where("role = 'assistant' and turn < last").groupBy("pair_id").agg(
         F.max(F.struct("turn", "text"))["text"].alias("reply"))
     stale = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
-    return marked.join(earlier, "pair_id", "left").select(
+    return _beside(marked, earlier, "left").select(
         "pair_id", "turn", "role", F.when(stale, F.coalesce("reply", F.lit(""))).otherwise(F.col("text")).alias("text"))

@@ -159,7 +159,9 @@ def mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REP
             break
         limits = c.settle(limits.join(got.groupBy("pattern").agg(F.sum("size").alias("got")), "pattern", "left").select(
             "pattern", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")), "limits")
-        open_ = open_.join(got.select("pick", "doc_id", "row"), ["pick", "doc_id", "row"], "left_anti")
+        # Null ids are ids here: a chosen document leaves, whatever its id.
+        open_ = open_.alias("o").join(got.alias("g"), (F.col("o.pick") == F.col("g.pick")) & F.col("o.doc_id").eqNullSafe(F.col("g.doc_id")) & (
+            F.col("o.row") == F.col("g.row")), "left_anti")
     taken = chosen.select("doc_id", "row", F.lit(1).alias("more"))
     same_doc = (F.col("b.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("b.row") == F.col("t.row"))
     return base.alias("b").join(taken.alias("t"), same_doc, "left").select(

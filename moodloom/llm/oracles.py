@@ -107,13 +107,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 PREFERENCE = """
 WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 earlier AS (
-  SELECT conv_id, max_by(text, turn) AS reply FROM conversations JOIN last USING (conv_id)
-  WHERE role = 'assistant' AND turn < last GROUP BY conv_id),
+  SELECT c.conv_id, max_by(text, turn) AS reply FROM conversations c JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id
+  WHERE role = 'assistant' AND turn < last GROUP BY c.conv_id),
 sides AS (
   SELECT conv_id AS pair_id, turn, role, text, 'chosen' AS side FROM conversations
   UNION ALL
-  SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN coalesce(reply, '') ELSE text END, 'rejected'
-  FROM conversations LEFT JOIN last USING (conv_id) LEFT JOIN earlier USING (conv_id)),
+  SELECT c.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN coalesce(reply, '') ELSE text END, 'rejected'
+  FROM conversations c LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN earlier e ON e.conv_id IS NOT DISTINCT FROM c.conv_id),
 r AS (
   SELECT *, concat('<|im_start|>', coalesce(role, ''), chr(10), replace(coalesce(text, ''), '<|', '< |'), '<|im_end|>', chr(10)) AS rendered,
          row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS no FROM sides),
@@ -125,13 +126,13 @@ m AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.no, b.no) AS no,
          a.no IS NULL OR b.no IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text AS differs, a.no IS NOT NULL AS in_a,
          b.no IS NOT NULL AS in_b
-  FROM (SELECT * FROM p WHERE side = 'chosen') a FULL JOIN (SELECT * FROM p WHERE side = 'rejected') b ON a.pair_id = b.pair_id AND a.no = b.no),
+  FROM (SELECT * FROM p WHERE side = 'chosen') a FULL JOIN (SELECT * FROM p WHERE side = 'rejected') b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.no = b.no),
 e AS (
   SELECT pair_id, coalesce(min(no) FILTER (differs), max(no) + 1) AS first, count(*) FILTER (in_a) AS n_a, count(*) FILTER (in_b) AS n_b
   FROM m GROUP BY pair_id)
-SELECT pair_id, CASE WHEN no < first THEN 'prompt' ELSE side END AS part, no, role, rendered, start_char::BIGINT AS start_char, n_chars,
+SELECT p.pair_id, CASE WHEN no < first THEN 'prompt' ELSE side END AS part, no, role, rendered, start_char::BIGINT AS start_char, n_chars,
        no >= first AND coalesce(role, '') = 'assistant' AS trainable, first - 1 AS prefix_turns, n_a >= first AND n_b >= first AS usable
-FROM p JOIN e USING (pair_id) WHERE no >= first OR side = 'chosen'
+FROM p JOIN e ON e.pair_id IS NOT DISTINCT FROM p.pair_id WHERE no >= first OR side = 'chosen'
 """
 
 WARC = """

@@ -102,6 +102,17 @@ def test_mix_comes_near_targets(spark):
     assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in got) and mixed[0].times == 1
 
 
+def test_null_ids_are_mixed_once(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 else i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice("abc")) for i in range(300)]
+    df = frame(spark, rows, "doc_id long, text string, source string")
+    got = mixing.mixed_words(df).collect()
+    assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len(t.split()) for _, t, _ in rows)
+    for name in "abc":
+        own = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60
+
+
 def test_overlapping_sources_and_quotas(spark):
     rows = [(i, 10, ["a", "b"] if i % 2 else ["b"]) for i in range(100)]
     got = mixing.mix(frame(spark, rows, "doc_id long, size long, sources array<string>"), (3, 1)).collect()
@@ -193,6 +204,16 @@ def test_common_turn_prefix(spark):
     assert chat.preference_rows(frame(spark, [], kind), frame(spark, [], kind)).count() == 0
 
 
+def test_pairs_without_an_id_are_kept(spark):
+    turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "a"), (None, 2, "user", "on"), (None, 3, "assistant", "b"), ("p", 0, "user", "x")]
+    df = frame(spark, turns, "pair_id string, turn int, role string, text string")
+    stale = chat.stale_replies(df).collect()
+    assert sorted((r.pair_id or "", r.turn, r.text) for r in stale) == [("", 0, "hi"), ("", 1, "a"), ("", 2, "on"), ("", 3, "a"), ("p", 0, "x")]
+    got = [r for r in chat.preference_rows(df, chat.stale_replies(df)).collect() if r.pair_id is None]
+    assert sorted((r.part, r.no) for r in got) == [("chosen", 4), ("prompt", 1), ("prompt", 2), ("prompt", 3), ("rejected", 4)]
+    assert all(r.usable and r.prefix_turns == 3 for r in got)
+
+
 # --- personal data ---
 
 PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
