@@ -79,6 +79,16 @@ def coarse(spread: bytes, ranges: int = RANGES) -> bytes:
     return np.append(a, np.zeros(ranges - len(a), np.int64)).clip(max=255).astype(np.uint8).tobytes() if len(a) == ranges else bytes(ranges)
 
 
+def shrunk(text: bytes) -> bytes:
+    """A text compressed, with its length in front: texts of sets travel and wait like this."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def grown(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: row key, doc_id, key of its shingle set (null if empty), size of the set."""
 
@@ -190,9 +200,9 @@ def lists(docs: DataFrame, ids: str, level: np.ndarray, words: int = WORDS, perc
     return rows.repartition("shingle").sortWithinPartitions("shingle", "meta", "id").mapInArrow(repeated, "shingle long, id long, meta long")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _with_end(items, end=None):
+    yield from items
+    yield end
 
 
 def neighbours(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -324,24 +334,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
+    def linked_pairs(held: list[tuple]) -> pa.RecordBatch:
+        sides = []
+        for k in (2, 3):
+            texts = [grown(h[k]) for h in held]
+            sides.append(c.shingles_of(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), words, True))
+        shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in zip(*sides, strict=True)]
+        ok = [h for h, (s, n) in zip(held, shared, strict=True) if 100 * s >= percent * (n - s)]
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in ok], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            # Both texts of a pair count: RUN_BYTES at most, or a single pair.
-            total = sum(np.cumsum(np.diff(c.raw(whole.column(f"text_{s}"))[1])) for s in "ab") if whole.num_rows else []
-            i = 0
-            while i < whole.num_rows:
-                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + c.RUN_BYTES, "right")))
-                batch = whole.slice(i, j - i)
-                sets = zip(*(c.shingles_of(*c.raw(batch.column(f"text_{s}")), words, True) for s in "ab"), strict=True)
-                shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets]
-                yield batch.select(["a", "b"]).filter(pa.array([100 * s >= percent * (n - s) for s, n in shared], pa.bool_()))
-                i = j
+        for batch in batches:
+            pair = zip(*(batch.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b")), strict=True)
+            held, size = [], 0
+            for a, b, x, y in _with_end(pair, (None,) * 4):
+                # Both texts of a pair count: RUN_BYTES at most, or a single pair.
+                more = sum(int.from_bytes(v[:8], "little") for v in (x, y)) if x else 0
+                if held and (x is None or size + more > c.RUN_BYTES):
+                    yield linked_pairs(held)
+                    held, size = [], 0
+                held.append((a, b, x, y))
+                size += more
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, ids: str, words: int = WORDS) -> DataFrame:
-    """Per wanted id one text, the size of its set and its histogram, as a table bucketed by id: joins with it move pairs,
+    """Per wanted id one text (`shrunk`), the size of its set and its histogram, as a table bucketed by id: joins with it move pairs,
     never texts. A task hands on one copy of a set, and a bit table of bounded size leaves out most sets that nobody wants."""
     half = slice(0, 8) if ids == "first" else slice(8, 16)
     spark = docs.sparkSession
@@ -356,11 +375,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame, ids: str, words: int = WORDS) -
             hit = c.listed(shared.value, keys)
             rows = [i for i, s in enumerate(sets) if len(s) and hit[i] and not (keys[i] in seen or seen.add(keys[i]))]
             if rows:
+                data = body.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows]), batch.column("text").take(pa.array(rows)), pa.array([len(sets[i]) for i in rows], pa.int64()),
+                    [pa.array(keys[rows]), c.binary(shrunk(data[at[i]:at[i + 1]]) for i in rows), pa.array([len(sets[i]) for i in rows], pa.int64()),
                      c.binary(histogram(sets[i]) for i in rows)], ["id", "text", "n", "spread"])
 
-    rows = docs.select("text").mapInArrow(run, "id long, text string, n long, spread binary")
+    rows = docs.select("text").mapInArrow(run, "id long, text binary, n long, spread binary")
     rows = rows.join(names, "id", "left_semi").dropDuplicates(["id"])
     name = f"texts_{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").option("path", c.scratch(spark, "texts")).bucketBy(
