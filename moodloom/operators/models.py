@@ -9,13 +9,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +20,8 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions.columns import clip, grid, names
-from ..session import checkpoint_folder
-from .joining import bounded_join, expanding_blocks
+from .boosting import Trees, fits
+from .joining import expanding_blocks
 from .series import ordered, over_frames, running
 
 PENALTIES = np.logspace(-2, 2, 10)
@@ -246,48 +243,23 @@ def static_index(df: DataFrame, feats: Sequence[str], target: str, cutoff: str,
     return raw.withColumn(name, 100.0 * (inside - low) / (high - low)).drop("raw_score")
 
 
-def _assemble(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(feats), outputCol="_features", handleInvalid="skip").transform(df)
-
-
-def _side_by_side(spark, fits: Sequence[Callable[[], object]]) -> list:
-    """Results of independent fits, each run from a driver thread of its own.
-
-    Hundreds of rounds need checkpoints, or the lineage of the residuals grows too deep to send.
-    """
-    checkpoint_folder(spark)
-    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
-
-
 def gbt_compare(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], targets: Mapping[str, str], cutoff: str,
                 weight: str | None = None, next_return: str = "target_reg", order: str = "date", rounds: int = 300,
-                step: float = 0.02, depth: int = 5) -> DataFrame:
-    """Returns of trading on boosted-tree signals, per target kind (`reg` or `cls`) and feature set."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.regression import GBTRegressor
+                step: float = 0.02, depth: int = 5, by=None) -> DataFrame:
+    """Returns of trading on boosted-tree signals, per target kind (`reg` or `cls`) and feature set.
 
+    All models are fitted side by side: each row goes to every (kind, feature set), whose number is fixed.
+    """
+    feats = list(dict.fromkeys(f for own in feature_sets.values() for f in own))
     is_train = F.col(order) <= F.lit(cutoff).cast(dict(df.dtypes)[order])
-    cases, fits = [], []
-    for kind, target in targets.items():
-        for label, feats in feature_sets.items():
-            maker = GBTRegressor if kind == "reg" else GBTClassifier
-            model = maker(featuresCol="_features", labelCol=target, predictionCol="_pred", maxIter=rounds,
-                          stepSize=step, maxDepth=depth, seed=42)
-            if weight:
-                model = model.setWeightCol(weight)
-            table = _assemble(df, feats)
-            cases.append((kind, label, table.where(~is_train)))
-            fits.append(partial(model.fit, table.where(is_train)))
-    results = None
-    for (kind, label, test), model in zip(cases, _side_by_side(df.sparkSession, fits), strict=True):
-        signal = (F.col("_pred") > (0 if kind == "reg" else 0.5)).cast("double")
-        traded = model.transform(test).select(F.lit(f"{kind}_{label}").alias("model"), order,
-                                              (signal * F.col(next_return)).alias("strat_ret"))
-        results = traded if results is None else results.unionByName(traded)
-    return results
+    cases = [(f"{kind}_{label}", kind, target, list(own)) for kind, target in targets.items() for label, own in feature_sets.items()]
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(target).cast("double").alias("_y")) for name, _, target, _ in cases]))
+    rows = df.withColumn("_case", each).withColumns({"model": F.col("_case.model"), "_y": F.col("_case._y"), "_next": F.col(next_return)})
+    settings = {name: Trees(rounds, step, depth, loss="squared" if kind == "reg" else "logistic") for name, kind, _, _ in cases}
+    scored = fits(rows, [*names(by), "model"], feats, "_y", order, is_train, settings, {name: own for name, _, _, own in cases}, "model", weight,
+                  carry=["_next"], name="_pred")
+    signal = F.col("_pred") > F.when(F.startswith("model", F.lit("reg_")), 0.0).otherwise(0.5)
+    return scored.select(*names(by), "model", order, (signal.cast("double") * F.col("_next")).alias("strat_ret"))
 
 
 def gbt_summary(traded: DataFrame) -> DataFrame:
@@ -298,49 +270,54 @@ def gbt_summary(traded: DataFrame) -> DataFrame:
                                        F.exp(F.sum("strat_ret")).alias("growth"), F.count(F.lit(1)).alias("n"))
 
 
-def fold_ids(df: DataFrame, k: int = 5, order: str = "date") -> DataFrame:
-    """Number of the test fold of each row: the last k of k+1 blocks, earlier rows are 0."""
-    numbered = df.withColumn("_r", F.row_number().over(ordered(order)) - 1)
-    total = df.count()
-    size = total // (k + 1)
-    start = total - k * size
-    fold = F.when(F.col("_r") >= start, F.floor((F.col("_r") - start) / size) + 1).otherwise(0)
-    return numbered.withColumn("fold", fold.cast("int")).drop("_r")
+def fold_ids(df: DataFrame, k: int = 5, order: str = "date", by=None) -> DataFrame:
+    """Number of the test fold of each row in its series: the last k of k+1 blocks, earlier rows are 0."""
+    series = Window.partitionBy(*names(by)) if by else Window.partitionBy(F.lit(0))
+    numbered = df.withColumns({"_r": F.row_number().over(series.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(series)})
+    size = F.expr(f"_n div {k + 1}")
+    start = F.col("_n") - k * size
+    fold = F.when((F.col("_r") >= start) & (size > 0), F.floor((F.col("_r") - start) / size) + 1).otherwise(0)
+    return numbered.withColumn("fold", fold.cast("int")).drop("_r", "_n")
+
+
+def _fold_models(df: DataFrame, feats: Sequence[str], target: str, k: int, order: str, by, models: Column) -> DataFrame:
+    """Each row with the models that learn from it or are tested on it: `_model` is the fold a model is tested on."""
+    whole = df.dropna(subset=[target, *feats])
+    return fold_ids(whole, k, order, by).withColumn("_model", F.explode(models)).where(F.col("_model") >= F.col("fold"))
 
 
 def ts_cv(df: DataFrame, feats: Sequence[str], target: str = "target_5d", k: int = 5, order: str = "date",
-          rounds: int = 500, step: float = 0.02, depth: int = 5, by=None) -> tuple[DataFrame, DataFrame, object]:
-    """Expanding cross-validation of boosted trees: error per fold, out-of-fold predictions, last model."""
-    from pyspark.ml.regression import GBTRegressor
-
-    folds = _assemble(fold_ids(df, k, order), feats).cache()
-    learner = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred_5d", maxIter=rounds,
-                           stepSize=step, maxDepth=depth, seed=42, subsamplingRate=0.7)
-    models = _side_by_side(df.sparkSession, [partial(learner.fit, folds.where(F.col("fold") < fold)) for fold in range(1, k + 1)])
-    predictions = None
-    for fold, model in enumerate(models, 1):
-        scored = model.transform(folds.where(F.col("fold") == fold)).select(order, "fold", target, "pred_5d")
-        predictions = scored if predictions is None else predictions.unionByName(scored)
+          rounds: int = 500, step: float = 0.02, depth: int = 5, by=None, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Expanding cross-validation of boosted trees, per series of `by`: errors (one row per fold, with mean and deviation over the
+    folds) and out-of-fold predictions. Rows without a feature or the target are left out before the folds are cut."""
+    keys = names(by)
+    rows = _fold_models(df, feats, target, k, order, by, F.sequence(F.lit(1), F.lit(k)))
+    predictions = fits(rows.withColumn("_y", F.col(target).cast("double")), [*keys, "_model"], feats, "_y", order, F.col("fold") < F.col("_model"),
+                       Trees(rounds, step, depth, share), carry=[target], name="pred_5d").withColumnRenamed("_model", "fold")
     gap = F.col("pred_5d") - F.col(target)
-    errors = predictions.groupBy("fold").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count(F.lit(1)).alias("n"))
-    return errors, predictions, models[-1]
+    errors = predictions.groupBy(*keys, "fold").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    # One row per fold, so these windows hold k rows a series.
+    folds = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    errors = errors.withColumns({"rmse_mean": F.avg("rmse").over(folds), "rmse_std": F.stddev_pop("rmse").over(folds)})
+    return errors, predictions
 
 
-def feature_importance(spark, model, feats: Sequence[str], families: Mapping[str, str] = fv.FEATURE_FAMILIES,
+def feature_importance(df: DataFrame, feats: Sequence[str], target: str = "target_5d", k: int = 5, order: str = "date", rounds: int = 500,
+                       step: float = 0.02, depth: int = 5, by=None, share: float = 0.7, families: Mapping[str, str] = fv.FEATURE_FAMILIES,
                        other: str = "other") -> DataFrame:
-    """Importance of each feature with its family and the family's share. One row per feature."""
-    values = model.featureImportances.toArray()
-    rows = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, values, strict=True)],
-                                 T.StructType([T.StructField("feature", T.StringType()),
-                                               T.StructField("importance", T.DoubleType())]))
+    """Each feature's share of the gains in the last fold's model, its family and the family's share. Only that model is fitted."""
+    keys = names(by)
+    rows = _fold_models(df, feats, target, k, order, by, F.array(F.lit(k))).where(F.col("fold") < F.col("_model"))
+    values = fits(rows.withColumn("_y", F.col(target).cast("double")), [*keys, "_model"], feats, "_y", order, F.lit(True),
+                  Trees(rounds, step, depth, share), importance=True).drop("_model")
     family = None
     for label, pattern in families.items():
         hit = F.rlike("feature", F.lit(pattern))
         family = F.when(hit, label) if family is None else family.when(hit, label)
-    rows = rows.withColumn("family", family.otherwise(other))
-    shares = rows.groupBy("family").agg(F.sum("importance").alias("_f"))
-    total = rows.agg(F.sum("importance")).scalar()
-    return bounded_join(rows, shares, ["family"], "inner").withColumn("family_share", F.col("_f") / total).drop("_f")
+    # One row per feature: windows over a series hold as many.
+    rows = values.withColumn("family", family.otherwise(other) if family is not None else F.lit(other))
+    share_ = F.sum("importance").over(Window.partitionBy(*keys, "family"))
+    return rows.withColumn("family_share", F.try_divide(share_, F.sum("importance").over(Window.partitionBy(*keys or [F.lit(0)]))))
 
 
 def exp_growth(df: DataFrame, ret: str, order: str = "date", by=None) -> DataFrame:

@@ -347,14 +347,13 @@ def gbt_compare(spark, sf):
 
 @query("ts_cv", None)
 def ts_cv(spark, sf):
-    errors, _, _ = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD)
+    errors, _ = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD)
     return errors
 
 
 @query("feature_importance", None)
 def feature_importance(spark, sf):
-    _, _, model = md.ts_cv(settle(model_table(spark, sf)), CORE + MOOD)
-    return md.feature_importance(spark, model, CORE + MOOD)
+    return md.feature_importance(settle(model_table(spark, sf)), CORE + MOOD)
 
 
 @query("exp_growth", "SELECT series, date, exp(sum(r) OVER (PARTITION BY series ORDER BY date)) AS growth FROM lr", doubles="growth",
