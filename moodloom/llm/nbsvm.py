@@ -99,7 +99,16 @@ def training(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """(key, text, label) of the labelled rows that may be learned from; `key` orders them by hash."""
     one = c.as_documents(labels, ("doc_id", label)).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     one = one.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
-    rows = c.as_documents(docs).where(F.col("doc_id").isNotNull() & ~held_out(folds=folds)).join(one.where(~held_out(folds=folds)), "doc_id")
+    one = c.settle(one.where(~held_out(folds=folds)), "labels")
+    # Texts without a label stay where they are: a bit table of bounded size leaves out nearly all of them before the join.
+    table = docs.sparkSession.sparkContext.broadcast(c.bit_table(one.select(F.col("doc_id").cast("long")), "doc_id", one.count()))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(c.listed(table.value, batch.column("doc_id").to_numpy()), pa.bool_()))
+
+    rows = c.as_documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(folds=folds))
+    rows = rows.mapInArrow(labelled, "doc_id long, text string").join(one, "doc_id")
     return c.settle(rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", (F.col("label") > 0).cast("int").alias("label")), "training")
 
 
