@@ -105,10 +105,16 @@ def average_rank(df: DataFrame, column: str, by: str | Sequence[str] | None = No
 
 
 def spearman(df: DataFrame, a: str, b: str, by: str | Sequence[str] | None = None) -> DataFrame:
-    """Rank correlation and the direction its sign suggests."""
+    """Rank correlation, its two-sided p-value (Student's t; null below three pairs) and the direction its sign suggests."""
+    from .inference import two_sided_p
+
     keys = names(by)
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         *keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
     ranked = average_rank(average_rank(pairs, "_a", keys, "_ra"), "_b", keys, "_rb")
-    return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn(
-        "momentum", F.col("rho") > 0)
+    out = ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rest = F.greatest(F.lit(0.0), 1.0 - F.col("rho") * F.col("rho"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(rest > 0, rest))
+    # Ranks that agree entirely have no spread left.
+    p = F.when((rest <= 0) & (F.col("n") > 2), 0.0).otherwise(two_sided_p(t, (F.col("n") - 2).cast("double")))
+    return out.withColumns({"p_value": p, "momentum": F.col("rho") > 0})

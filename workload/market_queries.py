@@ -158,25 +158,29 @@ def idx_spread(spark, sf):
     return ind.idx_spread(tb.load_rate_table(wide_rates(spark, sf), "item", ITEMS))
 
 
-@query("merge_daily", """
-SELECT date, close, log_return, sub_index2, sub_index6, sent_norm_w, "log_return_t+1" FROM (
+MERGED = [f"sub_index{i}" for i in range(2, 8)]
+MOODS = ["sent_norm_w", "sent_strength_w", "sent_std", "neg_z", "effective_n", "heat"]
+
+
+@query("merge_daily", f"""
+SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (ORDER BY date) AS rn FROM (
-    SELECT m.date, m.close, log_return, coalesce(p.patched, s.sub_index2) AS sub_index2, sub_index6, d.sent_norm_w,
-      lead(log_return) OVER (ORDER BY m.date) AS "log_return_t+1"
+    SELECT m.date, m.close, log_return, coalesce(p.patched, s.sub_index2) AS sub_index2, {', '.join(f's.{c}' for c in MERGED[1:4])},
+      {', '.join(f'd.{c}' for c in MERGED[4:] + MOODS)}, lead(log_return) OVER (ORDER BY m.date) AS "log_return_t+1"
     FROM (SELECT date, close, ln(close / lag(close) OVER (ORDER BY date)) AS log_return FROM market) AS m
-    LEFT JOIN (SELECT date, sub_index2 FROM market WHERE date <> DATE '1995-03-01') AS s USING (date)
+    LEFT JOIN (SELECT * REPLACE (CASE WHEN date <> DATE '1995-03-01' THEN sub_index2 END AS sub_index2) FROM market) AS s USING (date)
     LEFT JOIN (SELECT DATE '1995-03-01' AS date, 26.25 AS patched) AS p USING (date)
     LEFT JOIN mood AS d USING (date)
     WHERE log_return IS NOT NULL) AS a
   WHERE "log_return_t+1" IS NOT NULL) AS q WHERE rn > 37""",
-       doubles="close log_return sub_index2 sub_index6 sent_norm_w log_return_t+1", with_=f"WITH {DAILY}")
+       doubles=" ".join(["close", "log_return", *MERGED, *MOODS, "log_return_t+1"]), with_=f"WITH {DAILY}")
 def merge_daily(spark, sf):
     m, s = market(spark, sf), mood(spark, sf)
     gap = F.col("date") == F.lit("1995-03-01").cast("date")
     patch = m.where(gap).select("date", F.lit(26.25).alias("sub_index2")).distinct()
-    merged = ind.merge_daily(m.select("date", "close"), [m.where(~gap).select("date", "sub_index2"), s.select("date", "sub_index6")],
-                             s.select("date", "sent_norm_w"), patch, skip=37)
-    return merged.select("date", "close", "log_return", "sub_index2", "sub_index6", "sent_norm_w", "log_return_t+1")
+    indices = [m.where(~gap).select("date", MERGED[0]), *[m.select("date", c) for c in MERGED[1:4]], *[s.select("date", c) for c in MERGED[4:]]]
+    merged = ind.merge_daily(m.select("date", "close"), indices, s.select("date", *MOODS), patch, skip=37)
+    return merged.select("date", "close", "log_return", *MERGED, *MOODS, "log_return_t+1")
 
 
 RSI = PRICES + """,

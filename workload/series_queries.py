@@ -476,11 +476,10 @@ def coverage_gap_top(spark, sf):
 SELECT "column", min(CASE WHEN v IS NOT NULL THEN date END) AS first_valid, count(*) - count(v) AS missing,
   count(*) FILTER (WHERE v IS NULL AND date > f) AS missing_after_start, count(*) FILTER (WHERE v IS NULL AND date > f) > 0 AS problem
 FROM (SELECT *, min(CASE WHEN v IS NOT NULL THEN date END) OVER (PARTITION BY "column") AS f FROM (
-  SELECT date, 'sub_index6' AS "column", sub_index6 AS v FROM daily UNION ALL SELECT date, 'sent_std', sent_std FROM daily
-  UNION ALL SELECT date, 'log_return', log_return FROM daily UNION ALL SELECT date, 'close', close FROM daily) AS l) AS q
+  SELECT date, "column", v FROM daily UNPIVOT INCLUDE NULLS (v FOR "column" IN (COLUMNS(* EXCLUDE (date))))) AS l) AS q
 GROUP BY "column" """, with_=f"WITH {DAILY}")
 def null_profile(spark, sf):
-    return ag.null_profile(daily(spark, sf), "date", ["sub_index6", "sent_std", "log_return", "close"])
+    return ag.null_profile(daily(spark, sf), "date")
 
 
 @query("monthly_mean", """

@@ -174,11 +174,20 @@ def ttest_welch(spark, sf):
     return inf.ttest_welch(strategy_table(spark, sf), "target_reg", "index_score", by="series")
 
 
+# The distribution function of Student's t as the finite sum it is for whole degrees of freedom.
 @query("spearman", """
-SELECT series, corr(ra, rb) AS rho, count(*) AS n, corr(ra, rb) > 0 AS momentum FROM (
-  SELECT series, rank() OVER (PARTITION BY series ORDER BY index_score) + (count(*) OVER (PARTITION BY series, index_score) - 1) / 2.0 AS ra,
-    rank() OVER (PARTITION BY series ORDER BY target_reg) + (count(*) OVER (PARTITION BY series, target_reg) - 1) / 2.0 AS rb FROM strat) AS q
-GROUP BY series""", doubles="rho", with_=f"WITH {STRATEGY}")
+SELECT series, rho, n, rho > 0 AS momentum, 1 - CASE WHEN nu % 2 = 0
+    THEN sin(th) * (1 + coalesce((SELECT sum(exp(c + 2 * j * ln(cos(th)))) FROM steps WHERE j <= nu / 2 - 1 AND even), 0))
+    ELSE 2 / pi() * (th + sin(th) * cos(th) * (1 + coalesce((SELECT sum(exp(c + 2 * j * ln(cos(th)))) FROM steps WHERE j <= (nu - 3) / 2 AND NOT even), 0))) END AS p_value
+FROM (SELECT *, atan(abs(rho) * sqrt(nu / (1 - rho * rho)) / sqrt(nu)) AS th FROM (SELECT *, n - 2 AS nu FROM rhos))""", doubles="rho p_value", with_=f"""WITH {STRATEGY},
+rhos AS (
+  SELECT series, corr(ra, rb) AS rho, count(*) AS n FROM (
+    SELECT series, rank() OVER (PARTITION BY series ORDER BY index_score) + (count(*) OVER (PARTITION BY series, index_score) - 1) / 2.0 AS ra,
+      rank() OVER (PARTITION BY series ORDER BY target_reg) + (count(*) OVER (PARTITION BY series, target_reg) - 1) / 2.0 AS rb FROM strat) AS q
+  GROUP BY series),
+steps AS (
+  SELECT j, even, sum(ln(CASE WHEN even THEN (2.0 * j - 1) / (2 * j) ELSE 2.0 * j / (2 * j + 1) END)) OVER (PARTITION BY even ORDER BY j) AS c
+  FROM (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM rhos))) AS j) AS js, (SELECT unnest([true, false]) AS even) AS es)""")
 def spearman(spark, sf):
     return rk.spearman(settle(strategy_table(spark, sf).select("series", "index_score", "target_reg")), "index_score", "target_reg", "series")
 
