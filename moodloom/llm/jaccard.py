@@ -411,7 +411,8 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     # Neighbours; a few rounds of pivots; then every pair that is still apart.
     for turn in range(ROUNDS + 2):
         last = turn == ROUNDS + 1
-        if turn:
+        if turn == 1:
+            # Most lists that ever become one component are so after the neighbours; pivots pass over those that follow.
             shared = c.settle(still_mixed(shared, found), "mixed")
         pairs = neighbours(shared, percent) if not turn else crossing(shared, found, texts, percent) if last else pivots(shared, found, turn, percent)
         if seen is not None:
