@@ -151,3 +151,12 @@ def expanding_blocks(df: DataFrame, order: str, min_obs: int = 60, block: int =
         numbered.where(end >= start).withColumn("_block", F.explode(F.sequence(start, end)))
         .drop("_n")
     )
+
+
+def by_block(blocks: DataFrame, by: str | Sequence[str] | None = None):
+    """Blocks of `expanding_blocks` as groups for a fit. The work of a block is far larger than its bytes, so the
+    number of partitions follows the cores and is not joined up again by size."""
+    spark = blocks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    keys = [*names(by), "_block"]
+    return blocks.repartition(parts, *keys).groupBy(*keys)

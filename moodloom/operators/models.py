@@ -1,7 +1,6 @@
 """Walk-forward volatility and index estimation, a static index, and boosted-tree comparisons.
 
-Fits run in Spark tasks: one task per (series, block of dates) for the walk-forward index, one per
-(series, parameter point) for the volatility recursion, and sums of products in the JVM for the
+Fits run in Spark tasks: one task per (series, block of dates) for the walk-forward index and volatility, and sums of products in the JVM for the
 static ridge. A series holds one row per date, which bounds each group.
 """
 
@@ -19,10 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
-from ..functions.columns import clip, grid, names
+from ..functions.columns import clip, names
 from .boosting import Trees, fits
-from .joining import expanding_blocks
+from .joining import by_block, expanding_blocks
 from .series import ordered, over_frames, running
+from .volatility import egarch_fits
 
 PENALTIES = np.logspace(-2, 2, 10)
 
@@ -35,11 +35,12 @@ def log_returns(df: DataFrame, price: str, order: str = "date", by=None, name: s
 
 
 def walk_forward_vol(df: DataFrame, ret: str, method: str = "std", min_obs: int = 60, order: str = "date", by=None,
-                     name: str = "egarch_vol") -> DataFrame:
+                     name: str = "egarch_vol", diagnostics: bool = False) -> DataFrame:
     """Volatility of each row from earlier rows only, from row `min_obs` on.
 
-    `std` is the deviation of the last 20 returns. `egarch` is an approximation: an exponential
-    volatility recursion whose parameters are the grid point of highest likelihood so far.
+    `std` is the deviation of the last 20 returns. `egarch` fits an exponential volatility recursion with skewed t
+    innovations at every date (`volatility.egarch_fits`). `diagnostics` adds the likelihood of each date's fit and
+    whether it converged, as `<name>_loglik` and `<name>_converged`.
     """
     keys = names(by)
     value = F.coalesce(F.col(ret), F.lit(0.0))
@@ -52,38 +53,10 @@ def walk_forward_vol(df: DataFrame, ret: str, method: str = "std", min_obs: int
         return over_frames(df, deviation, order, keys)
     if method != "egarch":
         raise ValueError(f"unknown volatility method: {method}")
-    points = [{"a": a, "b": b, "g": g, "level": level}
-              for a in (0.05, 0.10, 0.20) for b in (0.90, 0.95, 0.98) for g in (0.0, -0.05, -0.10)
-              for level in (0.7, 1.0, 1.4)]
-    base = df.select(*keys, order, value.alias("_ret"))
-    spread = base.withColumn("_g", F.explode(grid(points)))
-    parts = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in [*keys, order])
-    schema = f"{parts}, _loglik double, _sigma double"
-
-    def recursion(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        point = pdf["_g"].iloc[0]
-        r = pdf["_ret"].to_numpy() * 100.0
-        start = r[:min_obs]
-        scale = float(np.var(start)) if len(start) else 1.0
-        target = math.log(max(scale, 1e-8) * point["level"])
-        h, total, mean_abs = target, 0.0, math.sqrt(2.0 / math.pi)
-        loglik, sigma = np.full(len(r), np.nan), np.full(len(r), np.nan)
-        for t in range(len(r)):
-            if t >= min_obs:
-                loglik[t], sigma[t] = total, math.exp(0.5 * h) / 100.0
-            z = r[t] * math.exp(-0.5 * h)
-            total -= 0.5 * (h + z * z)
-            h = (1 - point["b"]) * target + point["b"] * h + point["a"] * (abs(z) - mean_abs) + point["g"] * z
-            h = min(max(h, target - 12.0), target + 12.0)
-        out = pdf[[*keys, order]].copy()
-        out["_loglik"], out["_sigma"] = loglik, sigma
-        return out
-
-    paths = spread.groupBy(*keys, "_g").applyInPandas(recursion, schema)
-    best = paths.where(F.col("_sigma").isNotNull() & ~F.isnan("_sigma")).groupBy(*keys, order).agg(
-        F.max_by("_sigma", "_loglik").alias(name))
-    return df.join(best, [*keys, order], "left")
+    wanted = {name: "sigma"} | ({f"{name}_{c}": c for c in ("loglik", "converged")} if diagnostics else {})
+    found = egarch_fits(df, ret, min_obs, order, keys).select(*keys, order, *[F.col(c).alias(n) for n, c in wanted.items()])
+    same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*keys, order]]
+    return df.alias("_l").join(found.alias("_r"), same, "left").select("_l.*", *[F.col(f"_r.{n}") for n in wanted])
 
 
 def ridge_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,7 +128,7 @@ def walk_forward_scores(df: DataFrame, feats: Sequence[str], directions: Sequenc
         out["raw_score"] = scores
         return out
 
-    return blocks.groupBy(*keys, "_block").applyInPandas(fit, schema)
+    return by_block(blocks, keys).applyInPandas(fit, schema)
 
 
 def scale_between(raw: str, low: Column, high: Column) -> Column:

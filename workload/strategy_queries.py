@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from moodloom.functions import fixed_values as fv
 from moodloom.operators import inference as inf
@@ -254,7 +255,10 @@ def ablation(spark, sf):
 @query("walk_forward_vol_egarch", None, digits=10)
 def walk_forward_vol_egarch(spark, sf):
     d = md.log_returns(prices(spark, sf), "close", "date", "series", "lr")
-    return md.walk_forward_vol(d, "lr", "egarch", by="series").select("series", "date", "egarch_vol")
+    fitted = md.walk_forward_vol(d, "lr", "egarch", by="series", diagnostics=True)
+    failed = F.count_if(~F.col("egarch_vol_converged")).over(Window.partitionBy("series"))
+    return fitted.select("series", "date", "egarch_vol", "egarch_vol_loglik", "egarch_vol_converged",
+                         failed.alias("not_converged"))
 
 
 def model_table(spark, sf):
