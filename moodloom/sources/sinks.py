@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import names
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether the store that the path names has it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
@@ -22,7 +22,7 @@ def _write(df: DataFrame, path: str, by: Sequence[str], fmt: str, overwrite: boo
     and moves the groups when all tasks are done, so a failed run changes nothing."""
     spark = df.sparkSession
     mode = "overwrite"
-    if not overwrite and _exists(spark, path):
+    if not overwrite and table_exists(spark, path):
         there = spark.read.format(fmt).schema(df.schema).options(**options).load(path).select(
             *[F.col(k).alias(f"_there_{k}") for k in by]).distinct()
         same = [F.col(k).eqNullSafe(F.col(f"_there_{k}")) for k in by]
@@ -56,12 +56,14 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]
 
 def incremental_append(df: DataFrame, target: DataFrame | None, keys: str | Sequence[str],
                        order: str | Sequence[str]) -> DataFrame:
-    """Rows whose key the target lacks; of each key the first row in the given order, so a rerun picks the same."""
+    """Rows whose key the target lacks; of each key the first row in the given order, so a rerun picks the same.
+    A missing key is a key like others."""
     ids = names(keys)
     single = first_of_each(df, ids, order)
     if target is None:
         return single
-    return single.join(target.select(*ids).distinct(), ids, "left_anti")
+    there = target.select(*[F.col(k).alias(f"_there_{k}") for k in ids])
+    return single.join(there, [F.col(k).eqNullSafe(F.col(f"_there_{k}")) for k in ids], "left_anti")
 
 
 def append_news_and_comments(news: DataFrame, comments: DataFrame, target_news: DataFrame, target_comments: DataFrame,

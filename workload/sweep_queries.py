@@ -337,6 +337,20 @@ def unseen_comments_stream(spark, sf):
     return spark.read.parquet(out).select("comment_id")
 
 
+@query("append_stream", "SELECT user_id AS comment_id, count(*) FILTER (WHERE d = 1) AS copies FROM "
+       "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events) AS e GROUP BY user_id")
+def append_stream(spark, sf):
+    """Comments in batches by time, stopped after two thirds of the files and started again: every id once."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("comment_id"), "ts")
+    source, out = scratch(spark, "arrivals"), scratch(spark, "appended")
+    late = F.col("ts") >= F.lit("2024-01-20").cast("timestamp")
+    for part, files in ((rows.where(~late), 4), (rows.where(late), 2)):
+        part.repartitionByRange(files, "ts").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        appends.append_stream(stream, out, out.rsplit("/", 1)[-1], "comment_id", "ts").start().awaitTermination()
+    return spark.read.parquet(out).groupBy("comment_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("daily_sentiment_stream", """
 SELECT date, count(*) AS comment_count, sum(w) AS weight_sum, sum(w * w) AS weight_sq_sum,
   sum(norm * w) / (sum(w) + 1e-8) AS sent_norm_w, sum(p_pos * w) / (sum(w) + 1e-8) AS pos_mean_w, sum(p_neg * w) / (sum(w) + 1e-8) AS neg_mean_w
