@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions.columns import clip, flag, lookup, names, ratio
+from ..session import settle
 from .aggregates import with_grid
-from .joining import bounded_join
+from .falls import max_drawdown
+from .joining import bounded_join, null_safe_join
+from .ranks import with_quantiles
 from .series import Spans, over_frames, running
 from .windows import account_nav, drawdown
 
@@ -38,33 +41,45 @@ def index_multiplier(score: Column, low: Column, high: Column, momentum: bool =
     return F.when(score.isNotNull(), F.greatest(F.least(value, high), low))
 
 
-def exposure(df: DataFrame, momentum: bool = True, score: str = "index_score", ret: str = "target_reg",
-             order: str = "date", by=None, bounds: tuple = fv.MULTIPLIER_RANGE,
-             regime_weights: Mapping[str, float | Column] | None = None, name: str = "weight",
-             shock_limit: float = fv.VOL_SHOCK_LIMIT, loss_limit: float = fv.TAIL_LOSS_LIMIT,
-             spans: Spans | None = None) -> DataFrame:
-    """Position size: trend weight x volatility target x index multiplier x regime multiplier.
-
-    A volatility shock, or a loss over the three rows before, closes the position. `bounds` and the
-    regime weights may be columns, so that a parameter grid runs in one plan.
-    """
-    weights = fv.REGIME_MULTIPLIER if regime_weights is None else regime_weights
+def position_size(momentum: bool, score: str, bounds: Sequence[float | Column],
+                  regime_weights: Mapping[str, float | Column], shock_limit: float = fv.VOL_SHOCK_LIMIT,
+                  loss_limit: float = fv.TAIL_LOSS_LIMIT) -> Column:
+    """Position size of a row that already has `cumret_3d`; bounds and weights may be fields of a grid point."""
     as_column = [b if isinstance(b, Column) else F.lit(float(b)) for b in bounds]
     by_regime = None
-    for label, value in weights.items():
+    for label, value in regime_weights.items():
         literal = value if isinstance(value, Column) else F.lit(float(value))
         hit = F.col("regime") == label
         by_regime = F.when(hit, literal) if by_regime is None else by_regime.when(hit, literal)
     size = (trend_weight(F.col("trend_strength")) * vol_position(F.col("egarch_vol"))
             * index_multiplier(F.col(score), *as_column, momentum) * by_regime)
+    broken = flag(F.col("vol_shock") > shock_limit) | (F.col("cumret_3d") < loss_limit)
+    return F.when(broken, 0.0).otherwise(clip(size, 0.0, fv.MAX_LEVERAGE * 1.5))
 
+
+def recent_return(df: DataFrame, ret: str = "target_reg", order: str = "date", by=None,
+                  spans: Spans | None = None) -> DataFrame:
+    """Add `cumret_3d`, the return over the three rows before; 0 unless all three are known."""
     def recent(w):
         frame = w.rowsBetween(-3, -1)
         return {"cumret_3d": F.when(F.count(ret).over(frame) == 3, F.sum(ret).over(frame)).otherwise(0.0)}
 
-    d = over_frames(df, recent, order, by, 3, 0, spans)
-    broken = flag(F.col("vol_shock") > shock_limit) | (F.col("cumret_3d") < loss_limit)
-    return d.withColumn(name, F.when(broken, 0.0).otherwise(clip(size, 0.0, fv.MAX_LEVERAGE * 1.5)))
+    return over_frames(df, recent, order, by, 3, 0, spans)
+
+
+def exposure(df: DataFrame, momentum: bool = True, score: str = "index_score", ret: str = "target_reg",
+             order: str = "date", by=None, bounds: tuple = fv.MULTIPLIER_RANGE,
+             regime_weights: Mapping[str, float | Column] | None = None, name: str = "weight",
+             shock_limit: float = fv.VOL_SHOCK_LIMIT, loss_limit: float = fv.TAIL_LOSS_LIMIT,
+             spans: Spans | None = None) -> DataFrame:
+    """Position size: trend weight x volatility target x index multiplier x regime multiplier.
+
+    A volatility shock, or a loss over the three rows before, closes the position. `bounds` and the
+    regime weights may be columns, so that a parameter grid runs in one plan.
+    """
+    weights = fv.REGIME_MULTIPLIER if regime_weights is None else regime_weights
+    d = recent_return(df, ret, order, by, spans)
+    return d.withColumn(name, position_size(momentum, score, bounds, weights, shock_limit, loss_limit))
 
 
 def strategy_return(df: DataFrame, weight: str = "weight", ret: str = "target_reg", fee: float | Column = fv.FEE,
@@ -96,15 +111,23 @@ def bench_returns(df: DataFrame, kind: str = "trend", ret: str = "target_reg", f
 
 
 def perf_metrics(df: DataFrame, ret: str = "strat_ret", ref: str | None = "target_reg", order: str = "date",
-                 by=None) -> DataFrame:
-    """Return, risk and drawdown figures of each series of log returns."""
+                 by=None, spans: Spans | None = None) -> DataFrame:
+    """Return, risk and drawdown figures of each series of log returns.
+
+    With `spans` no task holds a series: the deepest fall is merged from records of blocks, the tail quantile comes
+    from `ranks`, and everything else is a plain aggregate. Only the block expression of the spans is used.
+    """
     keys = names(by)
     year = fv.TRADING_DAYS
-    fallen = drawdown(df, ret, order, keys)
-    fallen = fallen.withColumn("_q", F.percentile(ret, F.lit(0.05)).over(Window.partitionBy(*keys)))
     value = F.col(ret)
+    if spans is None:
+        rows = drawdown(df, ret, order, keys)
+        rows = rows.withColumn("_q", F.percentile(ret, F.lit(0.05)).over(Window.partitionBy(*keys)))
+    else:
+        settled = settle(df)
+        rows = with_quantiles(settled, ret, {"_q": 0.05}, keys).withColumn("drawdown", F.lit(None).cast("double"))
     down = flag(F.col(ref) < 0) if ref else F.lit(False)
-    figures = fallen.groupBy(*keys).agg(
+    figures = rows.groupBy(*keys).agg(
         F.count(value).alias("n"), (F.avg(value) * year).alias("ann_ret"),
         (F.stddev_samp(value) * math.sqrt(year) + 1e-9).alias("ann_vol"), F.min("drawdown").alias("mdd"),
         (F.exp(F.sum(value)) - 1).alias("total_return"),
@@ -112,6 +135,11 @@ def perf_metrics(df: DataFrame, ret: str = "strat_ret", ref: str | None = "targe
         (F.stddev_samp(F.when(down, value)) * math.sqrt(year)).alias("downside_vol"),
         F.avg(F.when(down, value)).alias("_down"),
         (F.avg(F.when(down, F.col(ref))) if ref else F.lit(None).cast("double")).alias("_ref_down"))
+    if spans is not None:
+        falls = max_drawdown(settled, ret, order, keys, spans.block).select(*keys, F.col("mdd").alias("_mdd"))
+        fallen = null_safe_join(figures, falls, keys, "left") if keys else figures.withColumn(
+            "_mdd", falls.select("_mdd").scalar())
+        figures = fallen.withColumn("mdd", F.col("_mdd")).drop("_mdd")
     return figures.withColumns({
         "sharpe": F.col("ann_ret") / F.col("ann_vol"),
         "calmar": F.col("ann_ret") / (F.abs("mdd") + 1e-9),
@@ -129,10 +157,11 @@ def default_strategy(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def fee_stress(df: DataFrame, fees: Sequence[float] = tuple(fv.FEE_GRID), weight: str = "weight",
                ret: str = "target_reg", order: str = "date", by=None) -> DataFrame:
-    """Performance under several fees; positions are computed once, only the cost differs."""
-    gridded = with_grid(df, [{"fee": fee} for fee in fees])
-    keys = [*names(by), "fee"]
-    return perf_metrics(strategy_return(gridded, weight, ret, F.col("fee"), order, keys), "strat_ret", ret, order, keys)
+    """Performance under several fees; positions and turnover are computed once, only the cost differs."""
+    moved = strategy_return(df, weight, ret, 0.0, order, by)
+    priced = with_grid(moved, [{"fee": fee} for fee in fees]).withColumn(
+        "strat_ret", F.col("weight_lag") * F.col(ret) - F.col("turnover") * F.col("fee"))
+    return perf_metrics(priced, "strat_ret", ret, order, [*names(by), "fee"])
 
 
 def perf_by_year(df: DataFrame, min_rows: int = 50, strategy: Strategy = default_strategy, ret: str = "target_reg",

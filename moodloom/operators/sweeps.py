@@ -2,7 +2,7 @@
 
 Whatever does not depend on the parameter (token counts, word hits, probabilities) is computed once.
 Where a grid point only changes an expression, all points are aggregated side by side in one pass and
-turned into rows afterwards; where it changes a window, the grid point becomes a series key.
+turned into rows afterwards; where it changes a window, the points travel through it as an array.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
-from ..functions.columns import local_date, names
+from ..functions.columns import grid, local_date, names
 from ..session import settle
 from .aggregates import with_grid
 from .classify import DOCUMENT, sentiment_norm, token_counts, weight_of, word_hits
 from .joining import bounded_join
-from .risk import exposure, perf_metrics, strategy_return
+from .risk import perf_metrics, position_size, recent_return
+from .series import ordered
 
 
 def as_rows(df: DataFrame, keys: Sequence[str], cells: Sequence[Mapping[str, Column]]) -> DataFrame:
@@ -270,14 +271,26 @@ def exposure_grid(ranges: Sequence[tuple[float, float]] = tuple(fv.MULTIPLIER_GR
 
 def sweep_exposure(df: DataFrame, points: Sequence[Mapping[str, float]] | None = None, momentum: bool = True,
                    score: str = "index_score", ret: str = "target_reg", order: str = "date", by=None) -> DataFrame:
-    """Performance per multiplier range and regime weights; the adopted point is marked."""
+    """Performance per multiplier range and regime weights; the adopted point is marked.
+
+    The sizes of all grid points are one array column of a row, so the shuffle does not grow with the grid.
+    """
     points = exposure_grid() if points is None else points
-    keys = [*names(by), "k_min", "k_max", "bull", "normal", "crisis"]
-    needed = [*names(by), order, score, ret, "trend_strength", "egarch_vol", "vol_shock", "regime"]
-    gridded = with_grid(df.select(*needed), points)
-    sized = exposure(gridded, momentum, score, ret, order, keys, (F.col("k_min"), F.col("k_max")),
-                     {"bull": F.col("bull"), "normal": F.col("normal"), "crisis": F.col("crisis")})
-    figures = perf_metrics(strategy_return(sized, ret=ret, order=order, by=keys), "strat_ret", ret, order, keys)
+    by = names(by)
+    keys = [*by, "k_min", "k_max", "bull", "normal", "crisis"]
+    d = recent_return(df.select(*by, order, score, ret, "trend_strength", "egarch_vol", "vol_shock", "regime"), ret, order, by)
+    sizes = F.transform(grid(points), lambda p: position_size(
+        momentum, score, (p["k_min"], p["k_max"]), {c: p[c] for c in ("bull", "normal", "crisis")}))
+    d = d.withColumn("_size", sizes).select(*by, order, ret, "_size")
+    # One window for all points: rows are copied only after it, and its partitioning serves the figures too.
+    flat = F.array_repeat(F.lit(0.0), len(points))
+    w = ordered(order, by)
+    held = d.withColumns({f"_held{n}": F.coalesce(F.lag("_size", n).over(w), flat) for n in (1, 2)})
+    cells = F.arrays_zip(grid(points).alias("p"), F.col("_held1").alias("now"), F.col("_held2").alias("before"))
+    rows = held.select(*by, order, ret, F.explode(cells).alias("_c"))
+    now, before = [F.coalesce(F.col(f"_c.{c}"), F.lit(0.0)) for c in ("now", "before")]
+    rows = rows.select(*by, order, ret, "_c.p.*", (now * F.col(ret) - F.abs(now - before) * F.lit(fv.FEE)).alias("strat_ret"))
+    figures = perf_metrics(rows, "strat_ret", ret, order, keys)
     low, high = fv.MULTIPLIER_RANGE
     adopted = ((F.col("k_min") == low) & (F.col("k_max") == high)
                & (F.col("bull") == fv.REGIME_MULTIPLIER["bull"]) & (F.col("crisis") == fv.REGIME_MULTIPLIER["crisis"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moodloom.operators import aggregates as ag
+from moodloom.operators import falls as fa
 from moodloom.operators import filters as fl
 from moodloom.operators import joining as jn
 from moodloom.operators import windows as wn
@@ -183,6 +184,25 @@ def drawdown(spark, sf):
     return wn.drawdown(rets(spark, sf), "r", **BY).select("series", "date", "growth", "peak", "drawdown")
 
 
+@query("max_drawdown", """
+SELECT series, count(*) AS rows, min(growth / peak - 1) AS mdd
+FROM (SELECT *, max(growth) OVER (PARTITION BY series ORDER BY date) AS peak
+      FROM (SELECT series, date, CASE WHEN r IS NOT NULL THEN exp(sum(r) OVER (PARTITION BY series ORDER BY date)) END AS growth FROM rets) AS g) AS q
+WHERE growth IS NOT NULL GROUP BY series""", doubles="mdd", with_=f"WITH {RETURNS}")
+def max_drawdown(spark, sf):
+    return fa.max_drawdown(rets(spark, sf), "r", blocks=["date_trunc('month', date)", "date_trunc('year', block)"], **BY)
+
+
+@query("max_drawdown_events", f"""
+SELECT event_type, count(*) AS rows, min(growth / peak - 1) AS mdd
+FROM (SELECT *, max(growth) OVER ({EW}) AS peak
+      FROM (SELECT event_type, ts, event_id, exp(sum((value - 50.0) / 10000.0) OVER ({EW})) AS growth FROM events WHERE value IS NOT NULL) AS g) AS q
+GROUP BY event_type""", doubles="mdd")
+def max_drawdown_events(spark, sf):
+    d = events(spark, sf).withColumn("r", (F.col("value") - 50.0) / 10000.0)
+    return fa.max_drawdown(d, "r", ["ts", "event_id"], "event_type", ["date_trunc('hour', ts)", "to_date(block)"])
+
+
 NAV = """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS rn FROM rets),
 acc AS (

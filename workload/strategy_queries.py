@@ -10,6 +10,7 @@ from moodloom.operators import inference as inf
 from moodloom.operators import models as md
 from moodloom.operators import ranks as rk
 from moodloom.operators import risk as rs
+from moodloom.operators.series import Spans
 from moodloom.plans import strategy as plan
 from moodloom.session import settle
 
@@ -73,6 +74,11 @@ def perf_metrics(spark, sf):
     return rs.perf_metrics(positions(spark, sf), **BY)
 
 
+@query("perf_metrics_spans", metrics_sql("positions", "series"), doubles=METRIC_COLUMNS, with_=f"WITH {POSITIONS}")
+def perf_metrics_spans(spark, sf):
+    return rs.perf_metrics(positions(spark, sf), spans=Spans("date_trunc('month', date)"), **BY)
+
+
 @query("compare_with_market", f"""
 SELECT s.series, s.sharpe, s.mdd, h.sharpe AS base_sharpe, h.mdd AS base_mdd
 FROM ({metrics_sql('positions', 'series')}) AS s JOIN ({metrics_sql('bench2', 'series')}) AS h USING (series)""",
