@@ -20,6 +20,10 @@ from ..functions.columns import clip, flag, names, normal_cdf, ratio
 from ..functions.fixed_values import EPS
 from .joining import bounded_join
 from .series import Order, Spans, ordered, over_frames, running, with_position
+from .sliding import over_sorted_frames
+
+# Longer frames are kept sorted while they slide (`sliding`); shorter ones are listed anew at each row. Results are equal.
+LONG_FRAME = 512
 
 
 def back(window: WindowSpec, n: int) -> WindowSpec:
@@ -102,9 +106,11 @@ def rolling_stats(df: DataFrame, column: str, n: int, funcs: Sequence[str] = ("m
 
 def rolling_quantile(df: DataFrame, column: str, n: int, q: float, order: Order = "date", by: Order | None = None,
                      min_periods: int | None = None, name: str | None = None,
-                     spans: Spans | None = None) -> DataFrame:
+                     spans: Spans | None = None, long_frame: int = LONG_FRAME) -> DataFrame:
     """Quantile of the last n rows with linear interpolation."""
     out = name or f"{column}_q{int(round(q * 100))}_{n}"
+    if n > long_frame:
+        return over_sorted_frames(df, column, n, n if min_periods is None else min_periods, out, q, order, by, spans)
     return over_frames(
         df, lambda w: {out: rolled(lambda c: F.percentile(c, F.lit(q)), F.col(column), w, n, min_periods)},
         order, by, n - 1, 0, spans)
@@ -118,12 +124,15 @@ def _ranked(known: Column, needed: int) -> Column:
 
 def rolling_percent_rank(df: DataFrame, column: str, n: int = 252, min_periods: int | None = None,
                          order: Order = "date", by: Order | None = None, name: str | None = None,
-                         spans: Spans | None = None) -> DataFrame:
+                         spans: Spans | None = None, long_frame: int = LONG_FRAME) -> DataFrame:
     """Share of the known values of the last n rows that do not exceed the last known one, in percent.
 
-    The frame's values are listed once per row and counted in the next step: used inside one
+    The values of a short frame are listed once per row and counted in the next step: used inside one
     expression, every mention of the list would be a window of its own.
     """
+    if n > long_frame:
+        return over_sorted_frames(df, column, n, n if min_periods is None else min_periods, name or f"{column}_rank{n}",
+                                  None, order, by, spans)
     listed = over_frames(df, lambda w: {"_known": F.collect_list(column).over(back(w, n))}, order, by, n - 1, 0, spans)
     score = _ranked(F.col("_known"), n if min_periods is None else min_periods)
     return listed.withColumn(name or f"{column}_rank{n}", score).drop("_known")

@@ -106,6 +106,30 @@ def rolling_percent_rank(spark, sf):
     return wn.rolling_percent_rank(gappy(spark, sf), "x", 100, 30, **BY).select("series", "date", "x_rank100")
 
 
+LONG = "(SELECT event_id, event_type, ts, CASE WHEN value >= 5 THEN value END AS v FROM events) AS e"
+
+
+def long_events(spark, sf):
+    return events(spark, sf).withColumn("v", F.when(F.col("value") >= 5, F.col("value")))
+
+
+@query("rolling_quantile_long", f"""
+SELECT event_id, CASE WHEN count(v) OVER f >= 100 THEN quantile_cont(v, 0.7) OVER f END AS v_q70_1000
+FROM {LONG} WINDOW f AS ({EW} ROWS 999 PRECEDING)""", doubles="v_q70_1000")
+def rolling_quantile_long(spark, sf):
+    return wn.rolling_quantile(long_events(spark, sf), "v", 1000, 0.7, ["ts", "event_id"], "event_type", 100,
+                               spans=EVENT_SPANS).select("event_id", "v_q70_1000")
+
+
+@query("rolling_percent_rank_long", f"""
+SELECT event_id, {RANK.format(mp=100)} AS v_rank1000
+FROM (SELECT event_id, list_filter(list(v) OVER ({EW} ROWS 999 PRECEDING), lambda v: v IS NOT NULL) AS known FROM {LONG}) AS q""",
+       doubles="v_rank1000")
+def rolling_percent_rank_long(spark, sf):
+    return wn.rolling_percent_rank(long_events(spark, sf), "v", 1000, 100, ["ts", "event_id"], "event_type",
+                                   spans=EVENT_SPANS).select("event_id", "v_rank1000")
+
+
 def cdf_sql(z: str) -> str:
     """Normal distribution function by the same published approximation."""
     t = f"(1.0 / (1.0 + 0.3275911 * (abs({z}) / sqrt(2.0))))"
