@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.columns import names
+from ..functions.columns import computed_once, names
 from ..functions.fixed_values import ARTICLE_PATH, DATE_PATTERNS, HEADLINE_LINK
 
 # Quoted either way or bare; the groups of the three are alternatives.
@@ -44,25 +44,30 @@ def extract_links(df: DataFrame, html: str, url: str, key: str | Sequence[str],
     patterns = [p if p.startswith("(?") else f"(?s){p}" for p in (styled, ANCHOR)]
 
     def matches(style: int) -> Column:
-        whole = F.regexp_extract_all(F.col(html), F.lit(patterns[style]), F.lit(0))
         groups = [1] if style == 0 else [1, 2, 3]
         last = 2 if style == 0 else 4
 
-        def link(m: Column, i: Column) -> Column:
-            href = F.concat(*[F.regexp_extract(m, patterns[style], g) for g in groups])
-            own = tx.strip_tags(F.regexp_extract(m, patterns[style], last))
-            named = tx.normalize_space(F.concat(*[F.regexp_extract(m, TITLE_ATTRIBUTE, g) for g in (1, 2)]))
-            ids = tx.ids_from_url(tx.absolute_url(tx.unescape(href), F.col(url)), path, query_keys)
-            return F.struct(i.alias("position"), ids.alias("ids"), F.when(own == "", named).otherwise(own).alias("title"))
-
-        found = F.filter(F.transform(whole, link), lambda x: x["ids"].isNotNull())
-        # First of each pair of ids, in page order.
-        seen = F.transform(found, lambda x: x["ids"])
-        return F.filter(found, lambda x, i: F.array_position(seen, x["ids"]) == i + 1)
-
-    both = df.select(*keys, F.inline(F.array(F.struct(matches(0).alias("_styled"), matches(1).alias("_any")))))
-    best = F.when(F.size("_styled") > 0, F.col("_styled")).otherwise(F.col("_any"))
-    rows = both.select(*keys, F.explode(best).alias("_m"))
+        def parts(m: Column, i: Column) -> Column:
+            return F.struct(i.alias("position"), F.concat(*[F.regexp_extract(m, patterns[style], g) for g in groups]).alias("href"),
+                            tx.strip_tags(F.regexp_extract(m, patterns[style], last)).alias("own"), m.alias("whole"))
+
+        def link(x: Column) -> Column:
+            ids = tx.ids_from_url(tx.absolute_url(tx.unescape(x["href"]), F.col(url)), path, query_keys)
+            named = tx.normalize_space(F.concat(*[F.regexp_extract(x["whole"], TITLE_ATTRIBUTE, g) for g in (1, 2)]))
+            return F.struct(ids.alias("ids"), x["position"].alias("position"),
+                            F.when(x["own"] == "", named).otherwise(x["own"]).alias("title"))
+
+        whole = F.regexp_extract_all(F.col(html), F.lit(patterns[style]), F.lit(0))
+        links = F.transform(F.transform(whole, parts), link)
+        return F.array_sort(F.filter(links, lambda x: x["ids"].isNotNull()))
+
+    # Each step is a column of its own: named inside a lambda, a list would be built anew for each of its elements.
+    found = computed_once(df, {"_styled": matches(0)})
+    found = computed_once(found, {"_links": F.when(F.size("_styled") > 0, F.col("_styled")).otherwise(matches(1))})
+    # Sorted by ids and position, so the first of each pair of ids follows a link with other ids.
+    best = F.filter("_links", lambda x, i: (i == 0) | ~F.get("_links", F.greatest(i - 1, F.lit(0)))["ids"].eqNullSafe(x["ids"]))
+    both = found.select(*keys, best.alias("_best"))
+    rows = both.select(*keys, F.explode("_best").alias("_m"))
     return rows.select(*keys, F.col("_m.position").alias("position"), F.col("_m.ids.first_id").alias("first_id"),
                        F.col("_m.ids.second_id").alias("second_id"),
                        F.format_string(template, "_m.ids.first_id", "_m.ids.second_id").alias("canonical"),
