@@ -118,3 +118,33 @@ def test_sentiment_ties(spark):
 def test_list_text(spark):
     df = texts(spark, ["['a', \"b'c\"]", "[]"])
     assert [r["item"] for r in cl.decode_list_text(df, "text").collect()] == ["a", "b'c"]
+
+
+def test_word_hits_of_short_long_and_joined_lists(spark):
+    rows = [(1, "a", "Über xyÜberz ABAB"), (2, "a", None), (3, None, "abc abcd \tabc"), (4, "b", "nothing"), (5, "a", " "), (6, "a", "ας İx 😀😀z"),
+            (7, None, "q" * 500 + "abcd"), (1, "a", "Über xyÜberz ABAB"), (8, "a", "bcdefghij"), (9, "a", "ab cd efgh")]
+    listed = [("a", "über", 0), ("a", "ab", 1), ("a", "ba", 1), ("a", "ab", 0), ("a", "ab", 0), ("a", "ας", 2), ("a", "😀z", 0), (None, "abcd", 0),
+              (None, "c a", 1), (None, None, 1), ("a", "", 2), ("a", "zz", None), ("a", "cdef", 0), ("a", "cdefghij", 1), ("a", "b cd", 1)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    vocab = spark.createDataFrame(listed, "lang string, token string, class int")
+    many = spark.createDataFrame([("a", f"{a}{b}{c}{d}", 0) for a in "wvy" for b in "wvy" for c in "0123456789" for d in "0123"], vocab.schema)
+    for words in (vocab, vocab.union(many), vocab.limit(0)):
+        for by in ("lang", None):
+            lists = {}
+            for lang, token, kind in words.collect():
+                if token is not None and kind is not None and " " not in token:
+                    lists.setdefault(lang if by else 0, set()).add((token, kind))
+            want = sorted((i, [sum(k == c and w in (t or "").lower() and bool((t or "").strip()) for w, k in lists.get(lang if by else 0, ()))
+                               for c in range(3)]) for i, lang, t in rows)
+            for most in (cl.MOST_WORDS, -1):
+                got = cl.word_hits(df, "text", words, 3, by, most=most)
+                assert got.columns == [*df.columns, "hits"]
+                assert sorted((r.id, r.hits) for r in got.collect()) == want
+
+
+def test_word_hits_read_each_text_once(spark):
+    """No substrings per row and length, and a filter on the counts does not count again."""
+    df = spark.createDataFrame([(1, "a", "abcd")], "id long, lang string, text string")
+    vocab = spark.createDataFrame([("a", "abcd", 0)], "lang string, token string, class int")
+    plan = cl.word_hits(df, "text", vocab, 1, "lang").where("hits[0] > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "substring" not in plan and plan.count("ArrowEvalPython") == 1
