@@ -41,8 +41,8 @@ PAIRS = 200_000
 SOME = 4
 #: Rounds of pivots, and pivots of a list and size in each.
 ROUNDS, PIVOTS = 3, 4
-#: Ranges of the histograms that lists carry for their last round.
-RANGES = 64
+#: Ranges of the histograms that lists carry for their last round, and earlier lists of a set that its rows carry.
+RANGES, EARLIER = 64, 4
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -246,20 +246,30 @@ def still_mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
 def crossing(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All pairs of a list in different components that pass the length and positional filters, and the suffix filter on
     coarse histograms, which come with the rows and not with the pairs."""
+    return meetings(rows, found, sets, percent).distinct()
+
+
+def meetings(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same with few pairs repeated.
+
+    Sets meet in every list they share. The filters never drop a linked pair in the first of these, so a row names the first
+    few lists of its set before its own, and a pair that has one of them in common is left to that one."""
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), c.binary(coarse(x) for x in batch.column("spread").to_pylist())], ["id", "spread"])
 
-    known = _known(rows, found).join(sets.select("id", "spread").mapInArrow(shorten, "id long, spread binary"), "id")
+    before = Window.partitionBy("id").orderBy("shingle").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {f"before_{k}": F.coalesce(F.nth_value("shingle", k + 1).over(before), F.lit(-1)) for k in range(EARLIER)}
+    known = _known(rows.withColumns(earlier), found).join(sets.select("id", "spread").mapInArrow(shorten, "id long, spread binary"), "id")
     sizes = known.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sizes.where("low <> high").select("shingle", F.expr(f"cast((size + {LIST} - 1) div {LIST} as int)").alias("k"))
     block = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     rows = known.join(mixed, "shingle").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("shingle", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "component", "id", "meta", "block", "spread")
+    rows = rows.select("shingle", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "component", "id", "meta", "block", *earlier, "spread")
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """All pairs of different components within the groups (shingle, i, j) of these sorted rows."""
-        shingle, i, j, component, name, meta, own, spread = columns
+        shingle, i, j, component, name, meta, own, *earlier, spread = columns
         n = len(name)
         new = np.ones(n, bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -287,8 +297,13 @@ def crossing(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int =
             x, y, need = x[ok], y[ok], 2 * least_overlap(a, b, percent)[ok]
             apart_ = np.abs(spread[x].astype(np.int16) - spread[y].astype(np.int16)).sum(axis=1)
             ok = (a[ok] + b[ok] - apart_ >= need) | (spread[x] == 255).any(axis=1) | (spread[y] == 255).any(axis=1) | ~spread[x].any(axis=1) | ~spread[y].any(axis=1)
-            if ok.any():
-                x, y = x[ok], y[ok]
+            x, y = x[ok], y[ok]
+            met = np.zeros(len(x), bool)
+            for p in earlier:
+                for q in earlier:
+                    met |= (p[x] == q[y]) & (p[x] >= 0)
+            x, y = x[~met], y[~met]
+            if len(x):
                 both = np.unique(np.stack([name[x], name[y]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -310,7 +325,7 @@ def crossing(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int =
                 held = [h[cut:] for h in held]
 
     dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "component", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def fitting(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

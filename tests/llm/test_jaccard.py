@@ -92,3 +92,21 @@ def test_components(spark, few):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
     assert got == {x: m for x, m in least.items() if sum(m == y for y in least.values()) > 1}
+
+
+def test_sets_that_share_many_lists_are_paired_once(spark):
+    # 30 sets of 120 shingles, 32 of them rare in all of them: they meet in over twenty lists, and histograms keep every pair.
+    shared = list(range(1, 33))
+    rows, sets = [], []
+    for i in range(30):
+        own = [(1 << 57) + 1000 * i + k for k in range(88)]
+        for at, shingle in enumerate((shared + own)[:jaccard.prefix_length(120)]):
+            rows.append((shingle, i + 1, (120 << 32) | at))
+        sets.append((i + 1, bytearray(jaccard.RANGES)))
+    shared_rows = spark.createDataFrame(rows, "shingle long, id long, meta long")
+    found = spark.createDataFrame([], "node long, component long")
+    spread = spark.createDataFrame(sets, "id long, spread binary")
+    pairs = jaccard.meetings(shared_rows, found, spread)
+    every = sorted((a, b) for a in range(1, 31) for b in range(1, a))
+    assert sorted(tuple(r) for r in pairs.collect()) == every
+    assert sorted(tuple(r) for r in jaccard.crossing(shared_rows, found, spread).collect()) == every
